@@ -169,4 +169,4 @@ def read_documents(segments: DataFrame, crc: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(ends), b.column("part")[k].as_py()), pa.int32()), "seq": pa.array(np.full(len(ends), b.column("seq")[k].as_py()), pa.int32()), "key": pa.array(s.keys.astype(np.int64), pa.int64()), "inner": pa.array(ends - s.counts, pa.int64()), "n_tokens": pa.array(s.counts, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())})
 
     rows = segments.select("part", "seq", "blob").mapInArrow(read, "part int, seq int, key long, inner long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(places), (F.col("part") == F.col("p2")) & (F.col("seq") == F.col("s2"))).select("key", (F.col("at") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(places, (F.col("part") == F.col("p2")) & (F.col("seq") == F.col("s2"))).select("key", (F.col("at") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
