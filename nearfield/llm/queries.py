@@ -10,7 +10,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -19,7 +19,7 @@ def _vocabulary(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import packing
 
-    return packing.pack(packing.token_pieces(_docs(spark, sf_dir), _vocabulary("word_bpe_49k.json")))
+    return packing.pack(packing.token_pieces(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +31,26 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm import sharding
+
+    return sharding.shard(_docs(spark, sf_dir))
+
+
+#: Stands for the secret that a deployment gives.
+PSEUDONYM_KEY = "replace-me"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm import pii
+
+    return pii.pseudonymise(_docs(spark, sf_dir), PSEUDONYM_KEY, count="n_replaced")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import byte_bpe
 
-    return byte_bpe.encode_texts(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    return byte_bpe.encode_texts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +63,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import token_count
 
     docs = _docs(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = token_count.token_counts(docs, _vocabulary("byte_bpe_50k.json"), keep=["doc_id", "n_bytes"])
+    counted = token_count.token_counts(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id", "n_bytes"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -60,12 +76,18 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import token_blocks
 
-    segments = token_blocks.write_tokens(_docs(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    segments = token_blocks.write_tokens(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return token_blocks.read_documents(segments).withColumnRenamed("key", "doc_id")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nearfield.llm import near_dedup
+
+    return near_dedup.near_duplicates(_docs(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op5_byte_bpe, op6_exact_dedup, op7_token_counts, op8_exact_topk, op9_token_blocks)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_sharding, op4_pii, op5_byte_bpe, op6_exact_dedup, op7_token_counts, op8_exact_topk, op9_token_blocks, op10_near_dedup)}
 
 
 OP6_SQL = """
