@@ -10,8 +10,11 @@ in a text, the best alignment is a longest increasing run of matched places; onl
 similarity of the threshold allows can be part of one, so the others are left out.
 
 Texts with the same words are one node. Buckets of up to 32 nodes are compared in all pairs. In a larger bucket each
-node is compared with the smallest; those that are similar to it are in its class already, and each of the others is
-compared with every node of the bucket, so no link between classes is lost and no bucket is expanded into its pairs.
+node is compared with a center, the node that shares most places in large buckets; those that are similar to it are of
+its class. The large buckets of a center are one group, and each of the group's nodes of other classes is compared with
+every node of the group: in blocks, where a matrix product counts the shared k-mers of all pairs, which bounds
+the alignment, and only pairs that can reach the threshold are aligned. So no link between classes is lost, and no pair is
+a row of its own before it is verified.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -176,8 +180,70 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "class_id")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many k-mers each of left shares with each of right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = [(np.concatenate(x) if x else np.empty(0, np.uint64), np.repeat(np.arange(len(x)), [len(v) for v in x])) for x in (left, right)]
+    both = np.intersect1d(np.unique(flat[0][0]), np.unique(flat[1][0]), assume_unique=True)
+    if not len(both):
+        return out
+    at = []
+    for tokens, rows in flat:
+        k = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+        hit = both[k] == tokens
+        order = np.argsort(k[hit], kind="stable")
+        at.append((k[hit][order], rows[hit][order]))
+    for c in range(0, len(both), columns):
+        sides = []
+        for (k, rows), n in zip(at, (len(left), len(right))):
+            a, z = np.searchsorted(k, (c, c + columns))
+            m = np.zeros((n, min(columns, len(both) - c)), np.float32)
+            m[rows[a:z], k[a:z] - c] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def links_across(groups: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """groups: g, node, n_kmers, class_id, main (the class of the group's center). Links (a, b) that join each node outside
+    the main class to each other class of its group to which it has one."""
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_kmers").alias("w"), F.count_if(F.col("class_id") != F.col("main")).alias("u"), F.sum(F.when(F.col("class_id") != F.col("main"), F.col("n_kmers")).otherwise(0)).alias("uw")).where("u > 0")
+    cut = lambda n, w, rows, kmers: F.ceil(F.greatest(F.col(n) / rows, F.col(w) / kmers)).cast("int")
+    sizes = stored(sizes.select(F.col("g").alias("of"), cut("u", "uw", 256, 1 << 17).alias("ub"), cut("n", "w", 1024, 1 << 19).alias("xb")), "groups")
+    rows = groups.join(sizes, F.col("g") == F.col("of"))
+    full = stored(rows.join(texts, F.col("node") == F.col("id")).dropDuplicates(["g", "node"]).select("g", "node", "class_id", "main", "ub", "xb", "t"), "group-texts")
+    part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = full.where(F.col("class_id") != F.col("main")).select("g", part("ub", 1).alias("i"), every("xb").alias("j"), "node", "class_id", "t")
+    right = full.select("g", every("ub").alias("i"), part("xb", 2).alias("j"), "node", "class_id", "t")
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"a": [], "b": [], "similarity": []}
+        if len(x) and len(y):
+            hasher = Hasher(k)
+            kx, ky = ([hasher.kmers(hasher.words(t or "")) for t in f["t"]] for f in (x, y))
+            nx, ny = (np.array([len(v) for v in f]) for f in (kx, ky))
+            cx, cy = x["class_id"].to_numpy(), y["class_id"].to_numpy()
+            total = nx[:, None] + ny[None, :]
+            counts = shared_counts(kx, ky)
+            able = (counts >= np.ceil(least * total / (1 + least) - 1e-9)) & (cx[:, None] != cy[None, :]) & (total > 0)
+            for i in np.flatnonzero(able.any(axis=1)).tolist():
+                found = set()
+                near = np.flatnonzero(able[i])
+                for j in near[np.argsort(-counts[i, near], kind="stable")].tolist():
+                    if cy[j] not in found and (sim := similarity(kx[i], ky[j], least)) >= least:
+                        found.add(cy[j])
+                        a, b = sorted((int(x["node"].iloc[i]), int(y["node"].iloc[j])))
+                        out["a"].append(a)
+                        out["b"].append(b)
+                        out["similarity"].append(sim)
+        return pd.DataFrame({"a": np.array(out["a"], np.int64), "b": np.array(out["b"], np.int64), "similarity": np.array(out["similarity"], float)})
+
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(compare, "a long, b long, similarity double")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
-    """key, class_id (the smallest key of its class), n_links (to other texts), kept (the class_id's own row) of each row.
+    """key, class_id (the smallest key of its class), kept (the class_id's own row) of each row.
     Classes are the components of the links, a link being a verified similarity of `least` or more. Texts with the same words are
     always of one class, also texts without words (null, empty), which are like no other. Rows that repeat a key are alike.
     Null keys get negative ones from their words. An empty table gives no rows; other columns aren't read."""
@@ -185,26 +251,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     named = F.coalesce(F.min("id"), -F.abs(F.xxhash64("word_key") % (2**61)) - 1)
     nodes = stored(made.groupBy("word_key").agg(named.alias("node"), F.first("n_kmers").alias("n_kmers"), F.first("keys").alias("keys")), "nodes")
     members = nodes.select(F.explode("keys").alias("key"), "node", "n_kmers")
-    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1").withColumnRenamed("key", "of"), "buckets")
-    placed = stored(members.join(sizes, F.col("key") == F.col("of")).select("key", "node", "n_kmers", "n", "center"), "bucketed")
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "of"), "buckets")
+    placed = stored(members.join(sizes, F.col("key") == F.col("of")).select("key", "node", "n_kmers", "n"), "bucketed")
     few = placed.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_kmers"))).alias("m"))
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  no alignment of more unequal lengths reaches `least`
     two = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & close(x["n_kmers"], y["n_kmers"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.a", "p.b")
-    star = placed.where((F.col("n") > ALL_PAIRS) & (F.col("node") != F.col("center"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    texts = docs.select(F.coalesce(docs[key].cast("long"), F.lit(None)).alias("id"), docs[text].alias("t"))
-    first = stored(verified(stored(pairs.union(star).distinct(), "pairs"), texts, k, least).dropDuplicates(["a", "b"]), "links")
-    links = first
     large = placed.where(F.col("n") > ALL_PAIRS)
-    apart = stored(large.where(F.col("node") != F.col("center")).join(first.select("a", "b"), (F.col("center") == F.col("a")) & (F.col("node") == F.col("b")), "left_anti").select("key", F.col("node").alias("x"), F.col("n_kmers").alias("nx")), "apart")
-    rest = large.join(apart.withColumnRenamed("key", "k2"), (F.col("key") == F.col("k2")) & (F.col("node") != F.col("x")) & close(F.col("n_kmers"), F.col("nx")))
-    rest = rest.where(F.col("node") != F.col("center")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    left = stored(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not left.isEmpty():
-        links = stored(first.union(verified(left, texts, k, least).dropDuplicates(["a", "b"])), "links")
-    classes = stored(components(links), "classes")
-    degree = links.select(F.col("a").alias("d")).union(links.select("b")).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
-    about = stored(classes.join(degree, F.col("id") == F.col("d"), "left").select(F.col("id").alias("c"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    told = stored(nodes.join(about, F.col("node") == F.col("c"), "left").select(F.col("word_key").alias("w"), "node", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "told")
+    weight = stored(large.groupBy("node").agg(F.sum("n").alias("w")).withColumnRenamed("node", "m"), "weights")
+    large = stored(large.join(weight, F.col("node") == F.col("m")).select("key", "node", "n_kmers", "w"), "large")
+    centers = stored(large.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("x"))).alias("c")).select(F.col("key").alias("of"), (-F.col("c.x")).alias("g")), "centers")
+    groups = stored(large.join(centers, F.col("key") == F.col("of")).select("g", "node", "n_kmers").distinct(), "members")
+    star = groups.where("g <> node").select(F.least("g", "node").alias("a"), F.greatest("g", "node").alias("b"))
+    texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t")).where("id IS NOT NULL")
+    links = stored(verified(stored(pairs.union(star).distinct(), "pairs"), texts, k, least).dropDuplicates(["a", "b"]), "links")
+    classes = components(links)
+    of_node = stored(groups.select("g", "node", "n_kmers").join(classes, F.col("node") == F.col("id"), "left").select("g", "node", "n_kmers", F.coalesce("class_id", "node").alias("class_id")), "classed")
+    main = stored(of_node.where("g = node").select(F.col("g").alias("of"), F.col("class_id").alias("main")), "mains")
+    more = stored(links_across(of_node.join(main, F.col("g") == F.col("of")).select("g", "node", "n_kmers", "class_id", "main"), texts, k, least), "links")
+    if not more.isEmpty():
+        classes = components(links.union(more).select("a", "b").distinct())
+    told = stored(nodes.join(classes, F.col("node") == F.col("id"), "left").select(F.col("word_key").alias("w"), "node", F.coalesce("class_id", "node").alias("class_id")), "told")
     final = made.select("id", "word_key").join(told, F.col("word_key") == F.col("w"))
-    return final.select(F.col("id").alias(key), "class_id", "n_links", (F.coalesce("id", "node") == F.col("class_id")).alias("kept"))
+    return final.select(F.col("id").alias(key), "class_id", (F.coalesce("id", "node") == F.col("class_id")).alias("kept"))
