@@ -1,12 +1,13 @@
 """Shards by balanced label propagation: linked documents move to each other under quotas.
 
 Linked documents share a hub (here: documents with equal texts). Every document starts in the shard of its key's hash. In a
-round each hub looks at how many of its documents each shard has; those outside the hub's fullest shard that still has
-room ask to move there. A shard's room is its capacity less the linked documents that it has, since unlinked ones can
-go anywhere; of the asking hubs as many are let in, whole, as the room allows, and of a hub that is larger than the room
-as many documents. A hub of more than a shard's capacity so fills one shard after another. When no document asks any more,
-the unlinked ones fill every shard to its capacity. Capacities differ by one row at most, and no edge is cut that
-the capacities and the rounds don't cut.
+round each hub looks at how many of its documents each shard has, and those outside its fullest shard ask to move there. A
+shard lets in what its room allows: its capacity, less the documents that it holds, plus those that leave it in the same
+round, which depends on what the other shards let in; the shares are the fixed point of that. Small hubs are let in whole,
+as many as the share says; of those over a quarter of a shard the share of their documents. A shard that is full and that nobody leaves is no
+target, so a hub of more than a shard's capacity fills one shard after another. Large hubs settle first, with all else
+counted as free to go (over a quarter of a shard, then over a 64th); then small hubs do in what is left; at last the unlinked documents fill every shard to its
+capacity. Capacities differ by one row at most.
 
 Hub sizes, askings and numberings are sums by (hub, shard) or by hash splits, so a hub may hold any share of the rows; the
 driver sees only tables of the shards.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.ranks import grouped_ranks
 from nearfield.llm.storage import stored
 
-SHARDS, ROUNDS = 16, 12
+SHARDS, ROUNDS = 16, 24
 
 
 def unit(*cols: Column | str) -> Column:
@@ -28,31 +29,40 @@ def unit(*cols: Column | str) -> Column:
     return F.xxhash64(*cols).cast("double") / 2.0**64 + 0.5
 
 
-def propagate(linked: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """linked: key, row, hub, shard. The same rows, with the shards that the rounds give them."""
+def shares(room: list[int], flow: dict[tuple[int, int], int]) -> list[float]:
+    """The share of the askings that each shard can let in, for askings flow[from, to]."""
+    n = len(room)
+    asked = [sum(v for (_, t), v in flow.items() if t == s) for s in range(n)]
+    share = [1.0] * n
+    for _ in range(200):
+        leaving = [sum(v * share[t] for (f, t), v in flow.items() if f == s) for s in range(n)]
+        share = [min(share[s], max(0.0, room[s] + leaving[s]) / asked[s]) if asked[s] else 0.0 for s in range(n)]
+    return share
+
+
+def propagate(linked: DataFrame, capacity: list[int], whole: bool, rounds: int = ROUNDS) -> DataFrame:
+    """linked: key, row, hub, shard. The same rows, with the shards that the rounds give them. whole: hubs move whole."""
     shards = len(capacity)
+    closed = [c <= 0 for c in capacity]
     for turn in range(rounds):
         by = stored(linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), "hub-shards")
         held = {r["shard"]: r["n"] for r in by.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [capacity[s] - held.get(s, 0) for s in range(shards)]
-        has_room = F.element_at(F.array(*[F.lit(x) for x in room]), F.col("shard") + 1)
-        # the hub's fullest shard with room; ties by a hash, so that hubs spread
-        score = F.struct(F.col("n"), F.xxhash64("hub", "shard"), F.col("shard"))
-        targets = by.where(has_room > 0).groupBy("hub").agg(F.max(score).alias("t"), F.sum("n").alias("_"))
-        asks = by.join(targets.select(F.col("hub").alias("h"), "t"), F.col("hub") == F.col("h")).where((F.col("shard") != F.col("t.shard")) & (score < F.col("t")))
-        asks = stored(asks.select("hub", "shard", F.col("n"), F.col("t.shard").alias("to")), "asks")
-        wanted = asks.groupBy("hub", "to").agg(F.sum("n").alias("m"))
-        by_shard = {r["to"]: r for r in wanted.groupBy("to").agg(F.sum("m").alias("m"), F.max("m").alias("largest")).collect()}
-        if not by_shard:
+        score = F.struct(F.col("n"), F.xxhash64("hub", "shard"), F.col("shard"))  # ties by a hash, so that hubs spread
+        is_open = F.element_at(F.array(*[F.lit(not x) for x in closed]), F.col("shard") + 1)
+        targets = by.where(is_open).groupBy("hub").agg(F.max(score).alias("t")).select(F.col("hub").alias("h"), "t")
+        asks = by.join(targets, F.col("hub") == F.col("h")).where((F.col("shard") != F.col("t.shard")) & (score < F.col("t")))
+        asks = stored(asks.select("hub", "shard", "n", F.col("t.shard").alias("to")), "asks")
+        flow = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
+        if not flow:
             break
-        # Whole hubs up to a bound go in by their hash's share; of larger ones the share of their documents.
-        rate = [min(1.0, max(0, room[s]) / by_shard[s]["m"]) if s in by_shard else 0.0 for s in range(shards)]
-        at = lambda v: F.element_at(F.array(*[F.lit(float(x)) for x in v]), F.col("to") + 1)
-        small = F.col("m") * 64 <= at([max(1, c) for c in capacity])
-        let_in = wanted.select(F.col("hub").alias("h"), "to", F.when(small, F.when(unit("hub", F.lit(turn)) < at(rate), 1.0).otherwise(0.0)).otherwise(at(rate)).alias("share")).where("share > 0")
-        moves = stored(asks.join(let_in.withColumnRenamed("to", "to2"), (F.col("hub") == F.col("h")) & (F.col("to") == F.col("to2"))).select("h", F.col("shard").alias("s"), F.col("to").alias("to"), "share"), "moves")
+        share = shares(room, flow)
+        closed = [capacity[s] <= 0 or room[s] <= capacity[s] // 20 and not any(f == s for f, _ in flow) for s in range(shards)]
+        rate = F.element_at(F.array(*[F.lit(float(x)) for x in share]), F.col("to") + 1)
+        draw = unit("hub", F.lit(turn)) if whole else unit("key", "row", F.lit(turn))
+        moves = asks.select(F.col("hub").alias("h"), F.col("shard").alias("s"), "to")
         next_ = linked.join(moves, (F.col("hub") == F.col("h")) & (F.col("shard") == F.col("s")), "left")
-        go = F.col("to").isNotNull() & (unit("key", "row", F.lit(turn)) < F.col("share"))
+        go = F.col("to").isNotNull() & (draw < rate)
         linked = stored(next_.select("key", "row", "hub", F.when(go, F.col("to")).otherwise(F.col("shard")).alias("shard")), "labels")
     return linked
 
@@ -67,11 +77,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     total = rows.count()
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    hubs = stored(rows.groupBy("text_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha").alias("of"), F.xxhash64("text_sha").alias("hub")), "hubs")
-    both = stored(rows.join(hubs, F.col("text_sha") == F.col("of"), "left").select("key", "row", "size", "text_crc32", "text_sha", F.col("of").alias("hub")), "linked")
+    hubs = stored(rows.groupBy("text_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha").alias("of"), F.xxhash64("text_sha").alias("hub"), "n"), "hubs")
+    both = stored(rows.join(hubs, F.col("text_sha") == F.col("of"), "left").select("key", "row", "size", "text_crc32", F.col("hub"), F.when(F.col("n") * 4 > capacity[0], 0).when(F.col("n") * 64 > capacity[0], 1).otherwise(2).alias("level")), "linked")
     start = F.pmod(F.xxhash64("key", "row", F.lit(3)), F.lit(shards)).cast("int")
-    linked = propagate(stored(both.where(F.col("hub").isNotNull()).select("key", "row", "hub", start.alias("shard")), "labels"), capacity, rounds)
-    # What a shard has over its capacity is freed, hubs' last documents first; a hub's documents lie together.
+    left, settled = capacity, None
+    for level in range(3):
+        members = stored(both.where(F.col("hub").isNotNull() & (F.col("level") == level)).select("key", "row", "hub", start.alias("shard")), "labels")
+        members = propagate(members, left, level > 0, rounds)
+        held = {r["shard"]: r["n"] for r in members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        left = [max(0, left[s] - held.get(s, 0)) for s in range(shards)]
+        settled = members if settled is None else settled.union(members)
+    linked = settled
+    # What a shard has over its capacity is freed.
     ranked = stored(grouped_ranks(linked, ["shard"], ["hub", "row"], "slot"), "ranked")
     limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("shard") + 1)
     fixed = ranked.where(F.col("slot") < limit)
