@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import exact_dedup, langid, near_dedup, packing, pii
 from nearfield.llm.queries import PSEUDONYM_KEY, vocabulary
-from nearfield.llm.storage import stored
+from nearfield.llm.storage import bounded_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the model is fitted on the labelled rows of what it gets. A corpus without labels
     stays whole, as nothing can be told of it."""
+    bounded_batches(spark)
     model = langid.fit(docs, F.lit(True))
     return langid.predict(docs, model).where("NOT rejected").select(*docs.columns) if model else docs
 
@@ -25,6 +26,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays."""
+    bounded_batches(spark)
     return _without(docs, near_dedup.near_duplicates(docs))
 
 
@@ -36,6 +38,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed."""
+    bounded_batches(spark)
     return packing.pack(packing.token_pieces(docs, vocabulary("word_bpe_49k.json")))
 
 

@@ -80,8 +80,10 @@ def predict(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_ma
         for b in units.pieces(batches, "t"):
             found = [classify(t, fixed.value) for t in b.column("t").to_pylist()]
             langs, scores = [x for x, _ in found], [m for _, m in found]
-            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == UNKNOWN or m < min_margin for x, m in found], pa.bool_())], names=["r", *new])
+            yield pa.RecordBatch.from_arrays([b.column("r"), *([b.column("t")] if text in rest else []), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array([x == UNKNOWN or m < min_margin for x, m in found], pa.bool_())], names=names)
 
-    inner = docs.select(F.struct(*[docs[c] for c in rest]).alias("r"), docs[text].alias("t"))
-    schema = T.StructType([inner.schema["r"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return inner.mapInArrow(run, schema).select("r.*", *new)
+    own = [docs[c] for c in rest if c != text] or [F.lit(0).alias("_")]  # the text is moved once
+    inner = docs.select(F.struct(*own).alias("r"), docs[text].cast("string").alias("t"))
+    names = ["r", *(["t"] if text in rest else []), *new]
+    schema = T.StructType([inner.schema["r"], *([inner.schema["t"]] if text in rest else []), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return inner.mapInArrow(run, schema).select(*[F.col("t").alias(c) if c == text else F.col("r").getField(c).alias(c) for c in rest], *new)

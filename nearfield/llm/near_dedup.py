@@ -35,7 +35,7 @@ from nearfield.llm.storage import stored
 
 WORD = re.compile(r"\w+")
 K, SIMILARITY, BANDS, TAKEN, ALL_PAIRS = 5, 0.8, 16, 3, 32
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 class Hasher:
@@ -158,6 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
             sim = np.array(out, float)
             ok = pa.array(sim >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(sim[sim >= least])], names=["a", "b", "similarity"])
+        units.release()
 
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     both = first.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -17,6 +18,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and about so many bytes in this session; smaller settings stay. What a worker
+    holds of whole texts is bounded by that."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    with contextlib.suppress(Exception):  # a setting that older versions don't have
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("-1", str(2**31 - 1), str(64 << 20), "64MB", "67108864b"):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df once as Parquet and reads it back: a lost executor costs no recomputation and the lineage ends here."""
     spark = df.sparkSession

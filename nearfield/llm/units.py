@@ -10,6 +10,8 @@ characters in a row are given to the library whole, as the cut isn't proven ther
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import functools
 import json
 import re
@@ -27,7 +29,7 @@ BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0
 LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text that are cut at a time, known units, and the longest unit that is kept.
-BATCH_BYTES, KNOWN, LONGEST = 8 << 20, 500_000, 64
+BATCH_BYTES, KNOWN, LONGEST = 4 << 20, 200_000, 64
 #: Stands before a unit that no space or newline stands before. Texts that hold it are encoded whole.
 MARK = "\x1e"
 
@@ -145,6 +147,13 @@ def encoder(path: str) -> UnitEncoder:
     return UnitEncoder(path)
 
 
+def release() -> None:
+    """Gives memory that isn't used any more back to the system, as Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of text; a longer text has its own."""
     for b in batches:
@@ -154,3 +163,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
         for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), b.num_rows]):
             if z > a:
                 yield b.slice(a, z - a)
+    release()
