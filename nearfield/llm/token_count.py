@@ -62,7 +62,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str
         for b in units.pieces(batches, "t"):
             texts = b.column("t")
             long = np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)) > chunk
-            short = pc.if_else(pa.array(long), pa.scalar(None, texts.type), texts)
+            short = units.blanked(texts, long)
             _, ends = enc.batch(short)
             n = np.diff(ends)
             for k in np.flatnonzero(long).tolist():

@@ -79,6 +79,16 @@ def _merger(path: str):
     return tiktoken.Encoding("merges", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, b"\xff" * bool(end)
 
 
+def blanked(texts: pa.Array, where: np.ndarray) -> pa.Array:
+    """texts with empty ones in the places that where marks."""
+    if not where.any():
+        return texts
+    values = texts.to_pylist()
+    for k in np.flatnonzero(where).tolist():
+        values[k] = ""
+    return pa.array(values, pa.large_string())
+
+
 class UnitEncoder:
     """Ids as the tokenizers library gives them for a .json vocabulary, without added special tokens."""
 
@@ -120,7 +130,7 @@ class UnitEncoder:
         if not n:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         apart = pc.match_substring_regex(texts, rf"{MARK}|<\|" if self.end else rf"{MARK}|<\||{WHITE}{{2}}").to_numpy(zero_copy_only=False)
-        cut = texts if not apart.any() else pc.if_else(pa.array(apart), pa.scalar("", pa.large_string()), texts)
+        cut = blanked(texts, apart)
         cut = pc.replace_substring_regex(cut, r"([\pL\pN])([^\pL\pN\pM\s])", rf"\1 {MARK}\2")
         lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
         at = np.asarray(lists.offsets, dtype=np.int64)
