@@ -46,7 +46,7 @@ def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     return {x: " ".join(v[:rows]).encode() for x, v in sorted(by.items()) if "".join(v)}
 
 
-@functools.cache
+@functools.lru_cache(maxsize=2)  # workers stay for later models
 def _compressors(model: tuple[tuple[str, bytes], ...]):
     import zstandard as z
 
