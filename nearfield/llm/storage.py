@@ -19,8 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Arrow batches of at most so many rows and about so many bytes in this session; smaller settings stay. What a worker
-    holds of whole texts is bounded by that."""
+    """Arrow batches of at most so many rows and about so many bytes in this session, and Parquet vectors of a quarter of
+    those rows; smaller settings stay. What a worker and a task hold of whole texts is bounded by that."""
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > rows // 4:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows // 4))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     with contextlib.suppress(Exception):  # a setting that older versions don't have
