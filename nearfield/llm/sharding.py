@@ -6,8 +6,10 @@ shard lets in what its room allows: its capacity, less the documents that it hol
 round, which depends on what the other shards let in; the shares are the fixed point of that. Small hubs are let in whole,
 as many as the share says; of those over a quarter of a shard the share of their documents. A shard that is full and that nobody leaves is no
 target, so a hub of more than a shard's capacity fills one shard after another. Large hubs settle first, with all else
-counted as free to go (over a quarter of a shard, then over a 64th); then small hubs do in what is left; at last the unlinked documents fill every shard to its
-capacity. Capacities differ by one row at most.
+counted as free to go (over a quarter of a shard, then over a 64th); then small hubs do in what is left, where they start too. After its
+rounds a hub of at most a quarter of a shard goes whole to its fullest shard, or where that has no room for it, whole to another
+that has. At last the hubs that no shard has room for and the unlinked documents fill every shard to its capacity.
+Capacities differ by one row at most.
 
 Hub sizes, askings and numberings are sums by (hub, shard) or by hash splits, so a hub may hold any share of the rows; the
 driver sees only tables of the shards.
@@ -67,6 +69,45 @@ def propagate(linked: DataFrame, capacity: list[int], whole: bool, rounds: int =
     return linked
 
 
+def spread(room: list[int], draw: Column) -> Column:
+    """A shard for a draw from 0 to 1, in proportion to the room."""
+    total, low, cases = sum(room), 0, F.lit(max(range(len(room)), key=lambda s: room[s]))
+    for s, r in reversed(list(enumerate(room))):
+        if r > 0:
+            cases = F.when((draw >= (total - low - r) / total) & (draw < (total - low) / total), F.lit(s)).otherwise(cases)
+            low += r
+    return cases
+
+
+def settle(linked: DataFrame, room: list[int]) -> DataFrame:
+    """linked: key, row, hub, shard. The same rows, each hub whole in one shard: its fullest, as far as that has room, or else
+    one drawn from those that have. A null shard for hubs that no shard has room for. In each round, every shard that a hub
+    asks takes the first one at least, so the rounds end."""
+    score = F.struct(F.col("n"), F.xxhash64("hub", "shard"), F.col("shard"))
+    by = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    fullest = by.groupBy("hub").agg(F.sum("n").alias("size"), F.max(score).alias("t"))
+    asking = stored(fullest.select("hub", "size", F.when(F.element_at(F.array(*[F.lit(r) for r in room]), F.col("t.shard") + 1) >= F.col("size"), F.col("t.shard")).alias("shard")), "hub-homes")
+    homes, room, turn = None, list(room), 0
+    while True:
+        drawn = F.transform(
+            F.filter(F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(r).alias("room")) for s, r in enumerate(room)]), lambda x: x["room"] >= F.col("size")),
+            lambda x: F.struct((-F.log(F.greatest(unit("hub", x["shard"], F.lit(turn)), F.lit(1e-18))) / x["room"]).alias("at"), x["shard"].alias("shard")),
+        )
+        asking = asking.select("hub", "size", F.coalesce("shard", F.array_min(drawn)["shard"]).alias("shard"))
+        ranked = grouped_ranks(asking.where(F.col("shard").isNotNull()), ["shard"], ["hub"], "before", weight="size")
+        limit = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("shard") + 1)
+        ranked = stored(ranked.withColumn("fits", F.col("before") + F.col("size") <= limit), "hub-asks")
+        taken = {r["shard"]: r["n"] for r in ranked.where("fits").groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+        room = [r - taken.get(s, 0) for s, r in enumerate(room)]
+        fit = ranked.where("fits").select("hub", "shard")
+        homes = fit if homes is None else stored(homes.union(fit), "homes")
+        asking, turn = ranked.where("NOT fits").select("hub", "size", F.lit(None).cast("int").alias("shard")), turn + 1
+        if asking.isEmpty():
+            break
+    homes = homes.select(F.col("hub").alias("h"), F.col("shard").alias("home"))
+    return stored(linked.join(homes, F.col("hub") == F.col("h"), "left").select("key", "row", "hub", F.col("home").alias("shard")), "settled")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 1; null texts have no bytes), text_crc32 (of the text in UTF-8, null as
     empty), law (`rows`), shard, slot, grown_shard (null) of each row. Shards' row counts differ by one at most and slots are
@@ -79,24 +120,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     hubs = stored(rows.groupBy("text_sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("text_sha").alias("of"), F.xxhash64("text_sha").alias("hub"), "n"), "hubs")
     both = stored(rows.join(hubs, F.col("text_sha") == F.col("of"), "left").select("key", "row", "size", "text_crc32", F.col("hub"), F.when(F.col("n") * 4 > capacity[0], 0).when(F.col("n") * 64 > capacity[0], 1).otherwise(2).alias("level")), "linked")
-    start = F.pmod(F.xxhash64("key", "row", F.lit(3)), F.lit(shards)).cast("int")
     left, settled = capacity, None
     for level in range(3):
-        members = stored(both.where(F.col("hub").isNotNull() & (F.col("level") == level)).select("key", "row", "hub", start.alias("shard")), "labels")
+        level_rows = both.where(F.col("hub").isNotNull() & (F.col("level") == level))
+        members = stored(level_rows.select("key", "row", "hub", spread(left, unit("key", "row", F.lit(3))).alias("shard")), "labels")
         members = propagate(members, left, level > 0, rounds)
-        held = {r["shard"]: r["n"] for r in members.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if level:
+            members = settle(members, left)
+        held = {r["shard"]: r["n"] for r in members.where(F.col("shard").isNotNull()).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
         left = [max(0, left[s] - held.get(s, 0)) for s in range(shards)]
         settled = members if settled is None else settled.union(members)
-    linked = settled
+    linked = settled.where(F.col("shard").isNotNull())
     # What a shard has over its capacity is freed.
     ranked = stored(grouped_ranks(linked, ["shard"], ["hub", "row"], "slot"), "ranked")
     limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("shard") + 1)
     fixed = ranked.where(F.col("slot") < limit)
     held = {r["shard"]: r["n"] for r in fixed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    free = both.where(F.col("hub").isNull()).select("key", "row").union(ranked.where(F.col("slot") >= limit).select("key", "row"))
-    numbered = grouped_ranks(free.withColumn("all", F.lit(0)), ["all"], ["row"], "at")
+    # Hubs without a shard come first, one after another, so that each is cut into few parts.
+    loose = settled.where(F.col("shard").isNull()).select("row", "hub")
+    bases = grouped_ranks(loose.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0)), ["all"], ["hub"], "base", weight="n").select(F.col("hub").alias("h"), "base")
+    first = stored(grouped_ranks(loose, ["hub"], ["row"], "nth").join(bases, F.col("hub") == F.col("h")).select("row", (F.col("base") + F.col("nth")).alias("at")), "loose")
+    free = both.where(F.col("hub").isNull()).select("row").union(ranked.where(F.col("slot") >= limit).select("row"))
+    later = grouped_ranks(free.withColumn("all", F.lit(0)), ["all"], ["row"], "at").select("row", (F.col("at") + F.lit(first.count())).alias("at"))
+    numbered = first.union(later)
     cases, low = [], 0
-    for s in range(shards):
+    for s in sorted(range(shards), key=lambda s: held.get(s, 0) - capacity[s]):
         have = held.get(s, 0)
         cases.append((low, low + capacity[s] - have, s, have))
         low += capacity[s] - have

@@ -211,6 +211,20 @@ def test_sharding(spark, docs, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_keeps_small_groups_beside_a_hot_one(spark):
+    # a third of the rows in one group, 150 pairs, and unlinked rows that can go anywhere
+    id_ = F.col("id")
+    text = F.when(id_ < 1600, "hot").when(id_ < 1900, F.concat(F.lit("pair "), F.floor(id_ / 2).cast("string"))).otherwise(F.concat(F.lit("own "), id_.cast("string")))
+    rows = sharding.shard(spark.range(4800).select(id_.alias("doc_id"), text.alias("text"))).collect()
+    assert len(rows) == 4800
+    law_of_rows(rows)
+    of = defaultdict(set)
+    for r in rows:
+        if 1600 <= r["doc_id"] < 1900:
+            of[r["doc_id"] // 2].add(r["shard"])
+    assert len(of) == 150 and all(len(v) == 1 for v in of.values())
+
+
 def luhn(s):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
 
