@@ -10,7 +10,7 @@ one, in all documents. The formats and their domains:
 - IPv4 addresses with octets up to 255: the 32 bits;
 - dates, year first or last, that the calendar has: the day in its Gregorian cycle of 400 years (146,097 days = 189 x 773);
 - mail addresses: the letters, and the digits, of all but the last label;
-- hexadecimal secrets of 16 to 64 digits given to a token, key, secret or password: all digits in halves of up to 12;
+- hexadecimal secrets of 16 to 64 digits given to a token, key, secret or password, in any case: all digits in halves of up to 12;
 - access keys of AKIA and 16 capitals or digits: the 16.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Fixed patterns of the formats, the more special first. Quantifiers are bounded, so a long text costs a bounded look ahead.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<=(?:token|key|secret|password) ?[=:] ?[\x22']?)(?<![0-9a-fA-F])[0-9a-f]{16,64}(?![0-9a-zA-Z])"
+SECRET = r"(?<=(?i:token|key|secret|password) ?[=:] ?[\x22']?)(?<![0-9a-fA-F])[0-9a-fA-F]{16,64}(?![0-9a-zA-Z])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d]|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.])(?:0[1-9]|[12]\d|3[01])\2\d{4})(?![\d]|[./-]\d)"
@@ -34,7 +34,7 @@ PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{
 GROUPED = r"(?<![\d-])\d{4}([ -])\d{4}\3\d{4}\3\d{4}(?![\d-])"
 NUMBER = r"(?<![\dA-Za-z.,])\d{13,19}(?![\dA-Za-z]|[.,]\d)"
 #: What a text must have to be searched at all.
-LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|AKIA|(?:token|key|secret|password) ?[=:]"
+LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|AKIA|(?i:token|key|secret|password) ?[=:]"
 FOUND = "|".join((MAIL, SECRET, ACCESS, IP, DATE, SSN, PHONE, GROUPED, NUMBER))
 
 
@@ -172,11 +172,16 @@ def _mail(m: Column, key: str) -> Column:
     return F.concat(refill(refill(body, new_letters, "[a-z]"), new_digits, "[0-9]"), end)
 
 
+def _secret(m: Column, key: str) -> Column:
+    """One pseudonym for all spellings of the digits: capitals where the letters are all capitals, else small letters."""
+    return let(symbols(F.lower(m), 16, 12, "secret", key), lambda s: F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(s)).otherwise(s))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     is_ = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(m.contains("@"), _mail(m, key))
-        .when(m.rlike("^[0-9a-f]{16,64}$") & ~m.rlike("^[0-9]{16,19}$"), symbols(m, 16, 12, "secret", key))
+        .when(m.rlike("^[0-9a-fA-F]{16,64}$") & ~m.rlike("^[0-9]{16,19}$"), _secret(m, key))
         .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(symbols(F.lower(F.substr(m, F.lit(5), F.lit(16))), 36, 11, "access", key))))
         .when(is_(IP), _ip(m, key))
         .when(is_(DATE), _date(m, key))

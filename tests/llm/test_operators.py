@@ -246,6 +246,17 @@ def test_pii(spark, odd, empty, docs):
     assert pii.pseudonymise(clean, "key").exceptAll(clean).count() == 0
 
 
+def test_pii_finds_secrets_in_any_case(spark):
+    secret = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'token = "{secret}"', f'TOKEN = "{secret.upper()}"', f"API_KEY={secret.upper()}", f"Password: {secret}", f"Secret: {secret[:20].upper()}{secret[20:]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "key", count="n").collect()}
+    new = got[0]["text"][9:-1]
+    assert len(new) == 40 and new != secret
+    assert [got[k]["text"] for k in range(5)] == [f'token = "{new}"', f'TOKEN = "{new.upper()}"', f"API_KEY={new.upper()}", f"Password: {new}", f"Secret: {new}"]
+    assert all(r["n"] == 1 for r in got.values())
+
+
 def test_feistel_permutes(spark):
     four = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     assert four.select(pii.digits(F.col("d"), "t", "k")).distinct().count() == 10000
