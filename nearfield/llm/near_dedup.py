@@ -3,7 +3,9 @@
 A text's words are lowercased runs of letters, digits and underscores; its k-mers are five words in a row, each with its
 occurrence number, so none repeats within a text (a shorter text is one k-mer). Each of 16 bands takes the 3 k-mers with the
 smallest hashes, keeps them in text order and hashes that row, so texts meet in a band if they share the k-mers and
-their order. Two texts of similarity 0.8 miss each other in all bands with a chance of about (1 - 0.8^3)^16 = 1e-5.
+their order. Two texts that share m of u k-mers, in one order, miss each other in all bands with a chance of about
+(1 - C(m, 3) / C(u, 3))^16. At a similarity of 0.8 that is 1e-5 for long texts ((1 - 0.8^3)^16), but more for short ones:
+4e-5 at 8 of 10 k-mers and 3e-4 at 4 of 5.
 
 Similarity is that of an alignment: L k-mers matched in order, L / (|A| + |B| - L). As a labelled k-mer occurs at most once
 in a text, the best alignment is a longest increasing run of matched places; only matches inside the band |i - j| that a
