@@ -1,97 +1,147 @@
 """Exact top-k inner products by reading sorted lists without random access.
 
-Candidates are cut into blocks. In a block every dimension is a list sorted by value; a query reads it from the
-top where its own component is positive and from the bottom where it is negative. After some depth a candidate's unread
-terms are at most what the list has reached (upper bound) and at least the list's end (lower bound). Reading stops when
-no candidate outside can exceed the k-th best lower bound; those that still can are resolved to their final scores by the
-terms that are still unread. Depth grows by the factor of the schedule, and the bounds of all queries of a block
-are two matrix products each.
+Candidates are cut into blocks. In a block every dimension is a list of (candidate, value) sorted by value; a query reads it
+from the top where its own component is positive and from the bottom where it is negative, so a list's contributions to the
+score fall as it is read. All lists are read down to a common contribution, in the falling steps of LEVELS. What has been
+read of a candidate is summed; nothing is looked up by candidate. Its score lies between
+
+- the sum less, and the sum plus, the product of the norms of what is unread of it and of the query (entries carry the
+  candidate's squared norm, and every entry read is taken off); and
+- from above, also the sum plus as many times the common contribution as lists haven't shown it yet.
+
+A candidate whose upper bound is under the k-th best lower bound is out for good. When all are out but a few (SURVIVORS * k),
+outsiders can't qualify; reading goes on in order for the entries of those that are left until their scores are complete.
+nra() also tells the share of the entries that was read until that point.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block, and the depths of reading as shares of a list.
-ROWS, QUERIES, DEPTHS = 8192, 2048, (0.125, 0.5, 1.0)
-
-
-def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """x: candidates x dims, q: queries x dims, both integers; yields (query number, ids, scores), best first with ties to
-    smaller ids, without the candidates whose id is the query's own. Sums that doubles don't hold are made of integers."""
-    n, dims = x.shape
-    largest = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * dims
-    if largest >= 1 << 53:
-        kind: type = object
-    else:
-        kind = np.float32 if largest < 1 << 24 else np.float64
-    xs, qs = x.astype(kind), q.astype(kind)
-    up, down = np.maximum(qs, 0).T, np.minimum(qs, 0).T
-    order = np.argsort(x, axis=0, kind="stable")
-    ranked = np.take_along_axis(xs, order, 0)  # ascending in each dimension
-    open_ = np.arange(len(q))
-    low_end, high_end = ranked[0], ranked[-1]
-    for share in DEPTHS:
-        if not len(open_):
-            return
-        depth = max(1, min(n, int(np.ceil(share * n))))
-        full = depth == n
-        if full:
-            upper = lower = xs @ qs[open_].T
-        else:
-            top, bottom = ranked[n - depth], ranked[depth - 1]  # where the lists have been read to
-            a, z = up[:, open_], down[:, open_]
-            upper = np.where(xs >= top, xs, top) @ a + np.where(xs <= bottom, xs, bottom) @ z
-            lower = np.where(xs >= top, xs, low_end) @ a + np.where(xs <= bottom, xs, high_end) @ z
-        done = np.zeros(len(open_), bool)
-        for j, qn in enumerate(open_.tolist()):
-            mine = ids == own[qn]
-            others = n - int(mine.sum())
-            if not others:
-                done[j] = True
-                continue
-            lo = np.where(mine, -np.inf, lower[:, j])
-            floor = np.partition(lo, n - min(k, others))[n - min(k, others)]
-            rest = np.flatnonzero((upper[:, j] >= floor) & ~mine)
-            if full or len(rest) <= 8 * k:  # nothing outside `rest` can qualify
-                score = xs[rest] @ qs[qn]
-                best = np.lexsort((ids[rest], -score.astype(np.float64) if kind is not object else -score))[:k]
-                yield qn, ids[rest][best], score[best].astype(np.int64)
-                done[j] = True
-        open_ = open_[~done]
-
-
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
+#: Bytes of a block's components, for candidates and for queries, and the fewest rows that a block is cut down to for parallel work.
+BLOCK_BYTES, QUERY_BYTES, LEAST_ROWS = 32 << 20, 8 << 20, 1024
+#: Common contributions, as parts of the largest one in the block; the last step reads the lists to their ends.
+LEVELS, SURVIVORS = (0.25, 0.12, 0.06, 0.02, 0.0, -0.015, -0.04, -0.12, -np.inf), 8
+
+
+class Lists(NamedTuple):
+    """A block's sorted lists: candidates by dimension and place, their values, exact values if doubles don't hold the sums."""
+
+    order: np.ndarray
+    values: np.ndarray
+    exact: np.ndarray | None
+    norms: np.ndarray
+    ids: np.ndarray
+
+
+def lists(x: np.ndarray, ids: np.ndarray) -> Lists:
+    """x: candidates x dims, doubles of whole numbers."""
+    order = np.argsort(x, axis=0, kind="stable").T.astype(np.int32).copy()
+    values = np.take_along_axis(x.T, order.astype(np.int64), 1)
+    large = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] >= 2.0**52
+    exact = np.array([[int(v) for v in row] for row in values.tolist()], object).reshape(values.shape) if large else None
+    return Lists(order, values, exact, (x * x).sum(axis=1), ids)
+
+
+def nra(block: Lists, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int], float]:
+    """(ids, scores, share of the entries read until outsiders couldn't qualify): the k best, ties to smaller ids, without the
+    candidates whose id is `own`."""
+    n = block.order.shape[1]
+    use = np.flatnonzero(q)
+    alive = block.ids != own
+    if not alive.any():
+        return block.ids[:0], [], 0.0
+    exact = block.exact is not None or float(np.abs(q).max(initial=0)) * float(np.abs(block.values).max(initial=0)) * len(q) >= 2.0**52
+    total = np.zeros(n, object if exact else np.float64)
+    rough, norms, weights, unseen = np.zeros(n), block.norms.copy(), np.full(n, float(q @ q)), np.full(n, len(use))
+    slack = 1e-9 * np.sqrt(float(block.norms.max()) * float(q @ q))
+    at, read, decided = np.zeros(len(use), np.int64), 0, None
+    largest = max((abs(q[i]) * max(block.values[i, -1], -block.values[i, 0]) for i in use), default=0.0)
+    for level in LEVELS:
+        common, ends = level * min(max(largest, 0.0), 1e300) if np.isfinite(level) else level, level == LEVELS[-1]
+        parts: list[tuple[np.ndarray, np.ndarray, int, slice]] = []
+        for j, i in enumerate(use.tolist()):
+            up = q[i] > 0
+            to = n if ends else n - int(np.searchsorted(block.values[i], common / q[i], "left")) if up else int(np.searchsorted(block.values[i], common / q[i], "right"))
+            if to > at[j]:
+                where = slice(n - to, n - at[j]) if up else slice(at[j], to)
+                parts.append((block.order[i, where], block.values[i, where], i, where))
+                at[j] = to
+        if parts:
+            who, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            factor = np.repeat(q[[p[2] for p in parts]], [len(p[0]) for p in parts])
+            read += len(who)
+            mine = np.flatnonzero(alive[who])
+            if len(mine) < len(who):
+                who, value, factor = who[mine], value[mine], factor[mine]
+            rough += np.bincount(who, value * factor, n)
+            norms -= np.bincount(who, value * value, n)
+            weights -= np.bincount(who, factor * factor, n)
+            unseen -= np.bincount(who, minlength=n)
+            if exact:
+                for w, v, i, where in parts:
+                    keep = alive[w]
+                    if keep.any():  # a list shows a candidate once
+                        known = block.exact[i, where][keep] if block.exact is not None else np.array([int(z) for z in v[keep].tolist()], object)
+                        total[w[keep]] += known * int(q[i])
+        left = np.flatnonzero(alive)
+        reach = np.sqrt(np.maximum(norms[left], 0.0) * np.maximum(weights[left], 0.0)) + slack
+        upper = rough[left] + (slack if ends else np.minimum(reach, common * unseen[left] + slack))
+        if len(left) > k:
+            lower = rough[left] - (slack if ends else reach)
+            alive[left[upper < np.partition(lower, len(left) - k)[len(left) - k]]] = False
+            left = np.flatnonzero(alive)
+        if decided is None and len(left) <= SURVIVORS * k:
+            decided = read
+        if not unseen[left].any():
+            break
+    score = [int(s) for s in (total if exact else rough)[left].tolist()]
+    best = sorted(range(len(left)), key=lambda j: (-score[j], int(block.ids[left[j]])))[:k]
+    return block.ids[left[best]], [score[j] for j in best], (read if decided is None else decided) / max(1, n * len(use))
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, block_bytes: int = BLOCK_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row where `queries` holds its k largest integer inner products with
-    all other rows, ties to the smaller id; fewer where there are fewer. Components become floor(scale * x). Vectors that are
-    null or empty or hold a null or non-finite component take no part; shorter ones count as ending in zeros. Rows that
-    repeat a key are each a candidate, and none of them is a candidate of its own key. Both sides are dealt into blocks by
-    their keys' hashes, and each pair of blocks is a task's: a stated query set against all rows."""
-    good = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).where(F.size(vector) > 0).where(~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    flag = F.coalesce(queries, F.lit(False))
-    base = good.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("v"), flag.alias("q"))
-    sizes = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m")).first()
-    blocks, query_blocks = max(1, -(-sizes["n"] // rows)), max(1, -(-sizes["m"] // query_rows))
+    all other rows, ties to the smaller id; fewer where there are fewer. Components become floor(scale * x), a double.
+    Vectors that are null or empty or hold a null or non-finite component (also one that only scaling makes infinite) take
+    no part; shorter ones count as ending in zeros. Scores are exact sums; one that a long doesn't hold is given as the
+    nearest long, after ranking. Rows that repeat a key are each a candidate, and none of them is a candidate of its own key;
+    if a key asks more than once, it gets one answer, that of its largest vector. Both sides are dealt into blocks by their
+    keys' hashes, of as many rows as block_bytes and query_bytes hold, and each pair of blocks is a task's: a stated query
+    set against all rows."""
+    wide = F.transform(vector, lambda v: v.cast("double") * scale)  # the floor is taken in the blocks, as doubles
+    base = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).where(F.size(vector) > 0)
+    base = base.select(F.col(key).cast("long").alias("id"), wide.alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    base = base.where(~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    size = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"), F.max(F.size("v")).alias("d")).first()
+    tasks = base.sparkSession.sparkContext.defaultParallelism
+    cut = lambda rows, room, least: max(1, -(-rows * 8 * (size["d"] or 1) // room), min(tasks, rows // least))
+    blocks, query_blocks = cut(size["n"], block_bytes, LEAST_ROWS), cut(size["m"], query_bytes, size["m"] + 1)
     number = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     candidates = base.select(number(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("g"), "id", "v")
-    asked = base.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), number(query_blocks, 2).alias("g"), "id", "v")
+    asking = base.where("q").groupBy("id").agg(F.max("v").alias("v"))
+    asked = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), number(query_blocks, 2).alias("g"), "id", "v")
+    dims = size["d"] or 1
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        dims = max(left["v"].map(len).max(), right["v"].map(len).max())
-        wide = lambda s: np.array([np.pad(v, (0, dims - len(v))) for v in s], np.int64).reshape(len(s), dims)
-        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
-        found = [(np.full(len(i), own[j]), i, s) for j, i, s in nra(wide(left["v"]), ids, wide(right["v"]), own, k)]
-        if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
-
-    parts = candidates.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(search, "query_id long, vec_id long, score long")
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        rows: dict[str, list] = {"query_id": [], "vec_id": [], "high": [], "score": []}
+        if len(left) and len(right):
+            matrix = lambda s: np.floor(np.array([np.pad(v, (0, dims - len(v))) for v in s], np.float64).reshape(len(s), dims))
+            block = lists(matrix(left["v"]), left["id"].to_numpy())
+            for own, q in zip(right["id"].tolist(), matrix(right["v"])):
+                with np.errstate(over="ignore", invalid="ignore"):  # bounds beyond doubles exclude nothing
+                    ids, scores, _ = nra(block, q, own, k)
+                rows["query_id"] += [own] * len(ids)
+                rows["vec_id"] += ids.tolist()
+                rows["score"] += [min(max(s, -(2**63)), 2**63 - 1) for s in scores]
+                rows["high"] += [f"{s + 10**640:0641d}" if abs(s) >= 2**63 else "" for s in scores]  # sorts as the score does
+        return pd.DataFrame(rows).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "high": "str"})
+
+    parts = candidates.groupBy("b", "g").cogroup(asked.groupBy("b", "g")).applyInPandas(search, "query_id long, vec_id long, high string, score long")
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("high"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
