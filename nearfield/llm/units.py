@@ -1,9 +1,11 @@
 """Token ids of whole texts, a batch at a time.
 
-A text is cut into units before single spaces and newlines and between a letter or digit and what is neither it nor
-white space or a mark. In both tokenizers no pretoken runs over such a place (a pretoken's white space stands at its start, and
-letters and digits end the pretokens they are in), so a text's ids are its units' ids in a row. Units are dictionary-encoded by Arrow; only a batch's distinct
-units are looked up, and only those never seen go through merging. Byte-level texts with two white-space
+A text is cut into units before single spaces and newlines and between a settled letter or digit and a punctuation
+character of ASCII. In both tokenizers no pretoken runs over such a place (a pretoken's white space stands at its start, and
+letters and digits end the pretokens they are in), so a text's ids are its units' ids in a row. A character is settled if
+Unicode has not changed its kind since version 3.2, so that all engines' tables agree on it, and if normalising and lowercasing
+it gives one settled letter or itself; `İ`, whose lower case ends in a mark, isn't. Units are dictionary-encoded by Arrow; only
+a batch's distinct units are looked up, and only those never seen go through merging. Byte-level texts with two white-space
 characters in a row are given to the library whole, as the cut isn't proven there.
 """
 
@@ -16,6 +18,7 @@ import functools
 import json
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,28 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*")
 BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
 LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Punctuation of ASCII, for a character class.
+MARKS = r"!-/:-@\[-`{-~"
 #: Bytes of text that are cut at a time, known units, and the longest unit that is kept.
 BATCH_BYTES, KNOWN, LONGEST = 4 << 20, 200_000, 64
 #: Stands before a unit that no space or newline stands before. Texts that hold it are encoded whole.
 MARK = "\x1e"
 
 
+@functools.cache
+def settled(kind: str) -> str:
+    """For a character class: the settled characters of the basic plane whose category begins with `kind` (L or N)."""
+    old, now = unicodedata.ucd_3_2_0, unicodedata
+
+    def is_(c: str) -> bool:
+        return len(c) == 1 and old.category(c)[0] == now.category(c)[0] == kind and now.normalize("NFC", c) == c
+
+    found = [k for k in range(0x10000) if is_(chr(k)) and is_(chr(k).lower())]
+    ends = [k for k, after in zip(found, [*found[1:], -1]) if after != k + 1]
+    starts = [k for k, before in zip(found, [-1, *found]) if before != k - 1]
+    return "".join(rf"\x{{{a:x}}}-\x{{{z:x}}}" for a, z in zip(starts, ends))
+
+
 def byte_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -131,7 +150,7 @@ class UnitEncoder:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
         apart = pc.match_substring_regex(texts, rf"{MARK}|<\|" if self.end else rf"{MARK}|<\||{WHITE}{{2}}").to_numpy(zero_copy_only=False)
         cut = blanked(texts, apart)
-        cut = pc.replace_substring_regex(cut, r"([\pL\pN])([^\pL\pN\pM\s])", rf"\1 {MARK}\2")
+        cut = pc.replace_substring_regex(cut, f"([{settled('L')}{settled('N')}])([{MARKS}])", rf"\1 {MARK}\2")
         lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
         at = np.asarray(lists.offsets, dtype=np.int64)
         at = at - at[0]
