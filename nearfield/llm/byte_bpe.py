@@ -4,13 +4,14 @@ Encodings with this join form a monoid. A node is the ids of a stretch of text a
 neighbours re-encodes a window around the cut that grows until both its edges are proven pretoken boundaries of the
 whole text; ids outside the window are then those of the whole. A place is a proven boundary by the two characters
 around it alone: no pretoken goes on after a letter or digit with another kind of character, nor from a character that
-isn't white space into white space. Inside a pretoken without such a place (a long run of letters) the window grows over
+isn't white space into white space; only characters are used on whose kind all engines' tables agree. Inside a pretoken without such a place (a long run of letters) the window grows over
 tokens instead, and stops when each token pair at its edges is what BPE makes of the two tokens' bytes: a row of
 tokens all of whose neighbours are such pairs is the encoding of their bytes.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,8 +23,16 @@ from pyspark.sql import types as T
 
 from nearfield.llm import units
 
-EDGE = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])")
-LEAF, WINDOW, RUN = 8192, 64, 4096
+#: A leaf's characters, the first reach of a window, and the longest pretoken that is joined by re-encoding it whole.
+LEAF, WINDOW, RUN = 512, 32, 4096
+
+
+@functools.cache
+def edge() -> regex.Pattern:
+    """Proven boundaries: what ends (a letter, a digit, punctuation) and what begins are of settled and different kinds."""
+    letter, digit = (regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", units.settled(k)) for k in "LN")
+    mark, white = units.MARKS, r" \t\n\r"
+    return regex.compile(f"(?<=[{letter}])(?=[{digit}{mark}{white}])|(?<=[{digit}])(?=[{letter}{mark}{white}])|(?<=[{mark}])(?=[{digit}{white}])")
 
 
 class TreeBPE:
@@ -31,7 +40,7 @@ class TreeBPE:
         enc = units.byte_encoding(path)
         self.whole, self.piece, self.leaf, self.run = enc._core_bpe.encode_ordinary, enc._core_bpe.encode_single_piece, leaf, run
         self.bytes_of = {i: b for b, i in units.byte_ranks(path).items()}
-        self.one_match = regex.compile(enc._pat_str).fullmatch
+        self.one_match, self.edge = regex.compile(enc._pat_str).fullmatch, edge()
 
     def encode(self, text: str) -> list[int]:
         return self._node(text, 0, len(text))
@@ -46,8 +55,8 @@ class TreeBPE:
         reach = WINDOW
         while True:  # the last proven boundary before the cut, the first after it
             low, high = max(a, cut - reach), min(z, cut + reach)
-            p = max((m.start() for m in EDGE.finditer(text, low, cut + 1) if m.start() < cut and m.start() > low), default=a if low == a else None)
-            m = EDGE.search(text, cut + 1, high)
+            p = max((m.start() for m in self.edge.finditer(text, low, cut + 1) if m.start() < cut and m.start() > low), default=a if low == a else None)
+            m = self.edge.search(text, cut + 1, high)
             q = m.start() if m else z if high == z else None
             if p is not None and q is not None:
                 break
