@@ -1,7 +1,11 @@
-"""Token counts of whole texts; huge ones in overlapping chunks that are spliced where both encodings must agree."""
+"""Token counts of whole texts by overlapping chunks that are spliced where both encodings must agree.
+
+A chunk is 4,096 characters; a text of at most one chunk has nothing to splice and is counted as it is.
+"""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -14,8 +18,14 @@ from pyspark.sql import types as T
 
 from nearfield.llm import units
 
-#: After a letter or digit a pretoken ends at any other kind of character, and before white space it always ends.
-BOUNDARY = re.compile(r"(?<=[^\W_])(?=[^\w])|(?<=\S)(?=[ \n])")
+CHUNK, OVERLAP = 4096, 256
+
+
+@functools.cache
+def boundary() -> re.Pattern:
+    """After a settled letter or digit a pretoken ends at punctuation and white space, and before white space it always ends."""
+    kinds = "".join(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: rf"\u{int(m[1], 16):04x}", units.settled(k)) for k in "LN")
+    return re.compile(f"(?<=[{kinds}])(?=[{units.MARKS} \\n])|(?<=[{units.MARKS}])(?=[ \\n])")
 
 
 def spliced_count(text: str, encode, chunk: int, overlap: int) -> int:
@@ -23,6 +33,7 @@ def spliced_count(text: str, encode, chunk: int, overlap: int) -> int:
     the last one ends; the two are spliced at a place that is a pretoken boundary by the characters around it and
     begins a token in both. Up to there the earlier chunk counts, from there the later. Where no such place is found
     the overlap is doubled; at last the later chunk begins at the last splice, which is a boundary itself."""
+    edge = boundary()
     total, begin, splice = 0, 0, 0  # tokens before splice are counted; the chunk from begin is right from splice on
     end = min(len(text), chunk)
     starts = np.asarray(encode(text[begin:end])) + begin
@@ -37,7 +48,7 @@ def spliced_count(text: str, encode, chunk: int, overlap: int) -> int:
                 break
             common = np.intersect1d(starts, later)
             common = common[(common > max(nxt, splice)) & (common <= end - 8)]
-            at = next((p for p in common[::-1].tolist() if BOUNDARY.match(text, p)), None)
+            at = next((p for p in common[::-1].tolist() if edge.match(text, p)), None)
             if at is not None:
                 break
             wide *= 2
@@ -49,7 +60,7 @@ def spliced_count(text: str, encode, chunk: int, overlap: int) -> int:
     return total + int(np.count_nonzero(starts >= splice))
 
 
-def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", chunk: int = 65536, overlap: int = 512, keep: list[str] | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
     """docs with a long column `out`: the tokens of the whole text by a byte-level .json vocabulary, as the tokenizers
     library counts them with its defaults and without added special tokens. Texts of more than `chunk` characters are
     encoded in overlapping chunks. Null and empty texts have 0 tokens; other columns stay as they are, also when one of

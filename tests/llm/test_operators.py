@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -46,6 +47,31 @@ def test_units_are_the_library(name):
         assert ids[ends[k] : ends[k + 1]].tolist() == enc.library.encode(t or "", add_special_tokens=False).ids
 
 
+def every_character():
+    """Each assigned character of the basic plane between letters, digits, marks and punctuation."""
+    for k in range(0x80, 0x10000):
+        c = chr(k)
+        if not 0xD800 <= k < 0xE000 and unicodedata.category(c) != "Cn" or k in (0x058B, 0x1C8A):
+            yield f"a{c}.{c}, {c}\u0307'{c}1{c}-b {c}{c}!"
+
+
+def test_units_are_the_library_on_every_character():
+    texts = [*every_character(), "ANKARA VALİLİĞİ, EMNİYETİ.", "İ. İ, İ'", "का्.", "<\u0338 a<\u0338 a=\u0338"]
+    r = random.Random(8)
+    texts += ["".join(r.choice("İıiIĞa1.,' \u0307\u0f4d\u058b\u1c8aßΣς-") for _ in range(30)) for _ in range(3000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = units.UnitEncoder(P.path(name))
+        ids, ends = enc.batch(pa.array(texts))
+        want = [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+        assert [t for k, t in enumerate(texts) if ids[ends[k] : ends[k + 1]].tolist() != want[k]] == []
+    path = P.path("byte_bpe_50k.tiktoken")
+    enc, tree = units.byte_encoding(path), byte_bpe.TreeBPE(path, leaf=6)
+    assert [t for t in texts if tree.encode(t) != enc.encode_ordinary(t)] == []
+    lib = units.library(P.path("byte_bpe_50k.json"))
+    starts = lambda part: [a for a, _ in lib.encode(part, add_special_tokens=False).offsets]
+    assert [t for t in texts if token_count.spliced_count(t * 3, starts, 24, 12) != len(lib.encode(t * 3, add_special_tokens=False).ids)] == []
+
+
 def test_spliced_counts():
     lib = units.library(P.path("byte_bpe_50k.json"))
     starts = lambda part: [a for a, _ in lib.encode(part, add_special_tokens=False).offsets]
