@@ -10,40 +10,49 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.llm import units
 
-#: Bounds of the fit: rows and characters of each that a dictionary is made of, and languages (the most frequent).
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 300, 400, 256
+#: Bounds of the fit: rows of a language, characters of a row, and rows in all. Every language is kept: where there are more
+#: than SAMPLE_ALL / SAMPLE_ROWS of them, each gets fewer rows, at least one.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_ALL = 300, 400, 76_800
 BLOCK, MIN_MARGIN, UNKNOWN = 2048, 0.005, "und"
 OTHER = re.compile(r"[\W\d_]+")
 
 
+@functools.cache
+def numerals() -> re.Pattern:
+    """What OTHER leaves of characters that are no letters, such as fractions and circled digits."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not OTHER.match(c)) + "]+")
+
+
 def normal(text: str) -> str:
-    return f" {OTHER.sub(' ', text.lower()).strip()} "
+    letters = OTHER.sub(" ", text.lower())
+    return f" {(letters if letters.isascii() else numerals().sub(' ', letters)).strip()} "
 
 
-def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, all_rows: int = SAMPLE_ALL) -> dict[str, bytes]:
     """A dictionary's content by language, from rows where `train` holds and text and language aren't null. Of each language
-    the rows with the smallest hashes of their keys are taken, at most `rows` of at most `chars` characters; whatever the
-    size of the table, that is all that reaches the driver. Without labelled rows there is no language."""
-    labelled = docs.where(train & docs[text].isNotNull() & docs[lang].isNotNull()).select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].cast("string").alias("l"))
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()}
-    if not counts:
+    the rows with the smallest hashes of key and text are taken, at most `rows` of at most `chars` characters; equal rows
+    (of null or repeated keys too) tie and any of them may be taken, which gives the same content. Whatever the size of the
+    table, at most max(all_rows, one row of each language) reach the driver. Without labelled rows there is no language."""
+    labelled = docs.where(train & docs[text].isNotNull() & docs[lang].isNotNull()).select(docs[lang].cast("string").alias("l"), F.xxhash64(docs[key], docs[text]).alias("h"), F.substring(docs[text], 1, chars).alias("t"))
+    languages = labelled.agg(F.count_distinct("l")).first()[0]
+    if not languages:
         return {}
-    spread = (F.xxhash64("k").cast("double") / 2.0**64) + 0.5
-    share = F.coalesce(*[F.when(F.col("l") == x, F.lit(min(1.0, 2.0 * rows / n))) for x, n in counts.items()])
-    near = labelled.where(spread < share).select("l", "k", spread.alias("h"), F.substring("t", 1, chars).alias("t")).limit(4 * rows * len(counts))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))  # Spark cuts each task's rows before they move
+    near = labelled.withColumn("r", place).where(F.col("r") <= max(1, min(rows, all_rows // languages)))
     by: dict[str, list] = {}
-    for r in sorted(near.collect(), key=lambda r: (r["l"], r["h"], str(r["k"]), r["t"])):
+    for r in sorted(near.collect(), key=lambda r: (r["l"], r["r"])):
         by.setdefault(r["l"], []).append(normal(r["t"]).strip())
-    return {x: " ".join(v[:rows]).encode() for x, v in sorted(by.items()) if "".join(v)}
+    return {x: " ".join(v).encode() for x, v in sorted(by.items()) if "".join(v)}
 
 
 @functools.lru_cache(maxsize=2)  # workers stay for later models
@@ -71,10 +80,10 @@ def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[st
 
 def predict(docs: DataFrame, model: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score (the margin) and rejected (no language, or a margin under min_margin) to each row, from its
-    whole text alone. keep: the columns to return, all by default; older columns of the new names are replaced."""
+    whole text alone; letters are what Python's isalpha holds for. keep: the columns to return, all by default; older columns of the new names are replaced."""
     new = ["lang_pred", "score", "rejected"]
     rest = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    fixed = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))  # at most LANGUAGES x SAMPLE_ROWS x SAMPLE_CHARS characters
+    fixed = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))  # as large as the sample: SAMPLE_ALL rows of SAMPLE_CHARS characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in units.pieces(batches, "t"):

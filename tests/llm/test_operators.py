@@ -172,6 +172,38 @@ def test_language(docs, odd, empty):
     assert langid.predict(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_is_the_smallest_compression(spark):
+    """Against dictionaries and sizes made here, from all labelled rows of a small table."""
+    import zstandard as z
+
+    r = random.Random(6)
+    words = {x: ["".join(r.choice(a) for _ in range(r.randint(2, 7))) for _ in range(60)] for x, a in {"aa": "abcdeh", "bb": "klmnouq", "cc": "aeiourst"}.items()}
+    rows = [(k if k % 5 else None, " ".join(r.choice(words[x]) for _ in range(r.randint(3, 300))), x) for k in range(90) for x in words]
+    rows += [(None, "only one text", "dd")] * 40  # one repeated row of null keys is learned too
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), rows=1000, chars=10**6)
+    assert set(model) == {"aa", "bb", "cc", "dd"} and set(langid.fit(df, F.lit(True), all_rows=2)) == set(model)
+    assert Counter(model["bb"].split()) == Counter(w.encode() for _, t, x in rows if x == "bb" for w in t.split())
+    got = Counter((r["text"], r["lang_pred"], round(r["score"], 9)) for r in langid.predict(df, model).collect())
+    made = {}
+    for x, content in model.items():
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        how = z.ZstdCompressionParameters(window_log=18, hash_log=16, chain_log=17, search_log=5, min_match=4, target_length=32, strategy=z.STRATEGY_BTLAZY2, write_checksum=False, write_content_size=False, write_dict_id=False)
+        made[x] = z.ZstdCompressor(compression_params=how, dict_data=d)
+    want = Counter()
+    for _, t, _ in rows:
+        data = f" {t} ".encode()
+        size = sorted((sum(len(c.compress(data[a : a + 2048])) for a in range(0, len(data), 2048)), x) for x, c in made.items())
+        want[t, size[0][1], round(1 - size[0][0] / size[1][0], 9)] += 1
+    assert got == want
+
+
+def test_language_needs_letters(spark):
+    texts = ["½ ¼", "²³", "①②", "Ⅷ", "12 _ 3", "a½", "ñ"]
+    got = [r["lang_pred"] for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), {"en": b"some text", "de": b"ein text"}).collect()]
+    assert [x == "und" for x in got] == [not any(c.isalpha() for c in t) for t in texts]
+
+
 def test_exact_dedup(docs, odd, empty):
     for df in (docs, odd):
         groups = defaultdict(list)
