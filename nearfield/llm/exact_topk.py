@@ -1,13 +1,10 @@
 """Exact top-k inner products by reading sorted lists without random access.
 
-Candidates are cut into blocks. In a block every dimension is a list of (candidate, value) sorted by value; a query reads it
-from the top where its own component is positive and from the bottom where it is negative, so a list's contributions to the
-score fall as it is read. All lists are read down to a common contribution, in the falling steps of LEVELS. What has been
-read of a candidate is summed; nothing is looked up by candidate. Its score lies between
-
-- the sum less, and the sum plus, the product of the norms of what is unread of it and of the query (entries carry the
-  candidate's squared norm, and every entry read is taken off); and
-- from above, also the sum plus as many times the common contribution as lists haven't shown it yet.
+Candidates are cut into blocks. In a block every dimension is a list of (candidate, value) sorted by value, which a query
+reads from both ends inwards, so that the contributions to the score shrink as it goes. All lists are read down to a common
+size of contribution, in the falling steps of LEVELS. What has been read of a candidate is summed and counted; nothing is
+looked up by candidate. A list that hasn't shown a candidate yet can add or take no more than the common contribution, so its
+score lies within that many times the lists that haven't.
 
 A candidate whose upper bound is under the k-th best lower bound is out for good. When all are out but a few (SURVIVORS * k),
 outsiders can't qualify; reading goes on in order for the entries of those that are left until their scores are complete.
@@ -23,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a block's components, for candidates and for queries, and the fewest rows that a block is cut down to for parallel work.
-BLOCK_BYTES, QUERY_BYTES, LEAST_ROWS = 32 << 20, 8 << 20, 1024
-#: Common contributions, as parts of the largest one in the block; the last step reads the lists to their ends.
-LEVELS, SURVIVORS = (0.25, 0.12, 0.06, 0.02, 0.0, -0.015, -0.04, -0.12, -np.inf), 8
+#: Bytes of a block's components, for candidates and for queries, and the fewest rows of each that blocks are cut down to for
+#: parallel work.
+BLOCK_BYTES, QUERY_BYTES, LEAST_ROWS, LEAST_QUERIES = 32 << 20, 8 << 20, 16384, 64
+#: Common contributions, as parts of the largest one in the block; the last step reads all that is left of the lists.
+LEVELS, SURVIVORS = (0.05, 0.025, 0.014, 0.0), 8
 
 
 class Lists(NamedTuple):
@@ -35,7 +33,6 @@ class Lists(NamedTuple):
     order: np.ndarray
     values: np.ndarray
     exact: np.ndarray | None
-    norms: np.ndarray
     ids: np.ndarray
 
 
@@ -45,7 +42,7 @@ def lists(x: np.ndarray, ids: np.ndarray) -> Lists:
     values = np.take_along_axis(x.T, order.astype(np.int64), 1)
     large = float(np.abs(x).max(initial=0)) ** 2 * x.shape[1] >= 2.0**52
     exact = np.array([[int(v) for v in row] for row in values.tolist()], object).reshape(values.shape) if large else None
-    return Lists(order, values, exact, (x * x).sum(axis=1), ids)
+    return Lists(order, values, exact, ids)
 
 
 def nra(block: Lists, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int], float]:
@@ -58,43 +55,37 @@ def nra(block: Lists, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list
         return block.ids[:0], [], 0.0
     exact = block.exact is not None or float(np.abs(q).max(initial=0)) * float(np.abs(block.values).max(initial=0)) * len(q) >= 2.0**52
     total = np.zeros(n, object if exact else np.float64)
-    rough, norms, weights, unseen = np.zeros(n), block.norms.copy(), np.full(n, float(q @ q)), np.full(n, len(use))
-    slack = 1e-9 * np.sqrt(float(block.norms.max()) * float(q @ q))
-    at, read, decided = np.zeros(len(use), np.int64), 0, None
-    largest = max((abs(q[i]) * max(block.values[i, -1], -block.values[i, 0]) for i in use), default=0.0)
+    rough, unseen = np.zeros(n), np.full(n, len(use))
+    low, high, read, decided = np.zeros(len(use), np.int64), np.full(len(use), n), 0, None
+    largest = min(1e300, max((abs(q[i]) * max(block.values[i, -1], -block.values[i, 0], 0.0) for i in use), default=0.0))
+    slack = 1e-9 * len(use) * largest
     for level in LEVELS:
-        common, ends = level * min(max(largest, 0.0), 1e300) if np.isfinite(level) else level, level == LEVELS[-1]
-        parts: list[tuple[np.ndarray, np.ndarray, int, slice]] = []
+        common, few = level * largest, 2 * int(alive.sum()) < n
+        who, terms = [], []
         for j, i in enumerate(use.tolist()):
-            up = q[i] > 0
-            to = n if ends else n - int(np.searchsorted(block.values[i], common / q[i], "left")) if up else int(np.searchsorted(block.values[i], common / q[i], "right"))
-            if to > at[j]:
-                where = slice(n - to, n - at[j]) if up else slice(at[j], to)
-                parts.append((block.order[i, where], block.values[i, where], i, where))
-                at[j] = to
-        if parts:
-            who, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            factor = np.repeat(q[[p[2] for p in parts]], [len(p[0]) for p in parts])
-            read += len(who)
-            mine = np.flatnonzero(alive[who])
-            if len(mine) < len(who):
-                who, value, factor = who[mine], value[mine], factor[mine]
-            rough += np.bincount(who, value * factor, n)
-            norms -= np.bincount(who, value * value, n)
-            weights -= np.bincount(who, factor * factor, n)
-            unseen -= np.bincount(who, minlength=n)
-            if exact:
-                for w, v, i, where in parts:
-                    keep = alive[w]
-                    if keep.any():  # a list shows a candidate once
-                        known = block.exact[i, where][keep] if block.exact is not None else np.array([int(z) for z in v[keep].tolist()], object)
-                        total[w[keep]] += known * int(q[i])
+            edge, values = common / abs(q[i]), block.values[i]
+            to = max(low[j], min(high[j], int(np.searchsorted(values, edge, "left"))))
+            up = min(to, max(low[j], int(np.searchsorted(values, -edge, "right"))))
+            for where in (slice(to, high[j]), slice(low[j], up)):
+                if where.stop > where.start:
+                    read += where.stop - where.start
+                    w, v = block.order[i, where], values[where]
+                    keep = np.flatnonzero(alive[w]) if few or exact else slice(None)
+                    w, v = w[keep], v[keep]
+                    who.append(w)
+                    terms.append(v * q[i])
+                    if exact and len(w):  # a list shows a candidate once
+                        total[w] += (block.exact[i, where][keep] if block.exact is not None else np.array([int(z) for z in v.tolist()], object)) * int(q[i])
+            low[j], high[j] = up, to
+        if who:
+            shown = np.concatenate(who)
+            rough += np.bincount(shown, np.concatenate(terms), n)
+            unseen -= np.bincount(shown, minlength=n)
         left = np.flatnonzero(alive)
-        reach = np.sqrt(np.maximum(norms[left], 0.0) * np.maximum(weights[left], 0.0)) + slack
-        upper = rough[left] + (slack if ends else np.minimum(reach, common * unseen[left] + slack))
         if len(left) > k:
-            lower = rough[left] - (slack if ends else reach)
-            alive[left[upper < np.partition(lower, len(left) - k)[len(left) - k]]] = False
+            reach = common * unseen[left] + slack
+            lower = rough[left] - reach
+            alive[left[rough[left] + reach < np.partition(lower, len(left) - k)[len(left) - k]]] = False
             left = np.flatnonzero(alive)
         if decided is None and len(left) <= SURVIVORS * k:
             decided = read
@@ -120,8 +111,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     base = base.where(~F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     size = base.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"), F.max(F.size("v")).alias("d")).first()
     tasks = base.sparkSession.sparkContext.defaultParallelism
-    cut = lambda rows, room, least: max(1, -(-rows * 8 * (size["d"] or 1) // room), min(tasks, rows // least))
-    blocks, query_blocks = cut(size["n"], block_bytes, LEAST_ROWS), cut(size["m"], query_bytes, size["m"] + 1)
+    cut = lambda rows, room, least, parts: max(1, -(-rows * 8 * (size["d"] or 1) // room), min(parts, rows // least))
+    blocks = cut(size["n"], block_bytes, LEAST_ROWS, tasks)
+    query_blocks = cut(size["m"], query_bytes, LEAST_QUERIES, tasks // blocks)
     number = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
     candidates = base.select(number(blocks, 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("g"), "id", "v")
     asking = base.where("q").groupBy("id").agg(F.max("v").alias("v"))
