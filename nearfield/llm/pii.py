@@ -2,15 +2,23 @@
 
 Validated numbers and dates in a text are replaced by a keyed permutation of their own format: a Feistel network with a
 SHA-256 round function over a pair of residues (left mod A, right mod B), so each value has one pseudonym and no two share
-one, in all documents. The formats and their domains:
-
-- payment cards of 13 to 19 digits that pass the Luhn check: all digits but the last, which becomes the new check digit;
-- telephone numbers, with a country code or in the form 3-3-4: all digits but the country code;
-- social security numbers in the form 3-2-4 with a possible area: all digits;
-- IPv4 addresses with octets up to 255: the 32 bits;
-- dates, year first or last, that the calendar has: the day in its Gregorian cycle of 400 years (146,097 days = 189 x 773);
+one, in all documents. A pseudonym is a value that the format's validator accepts. The formats and their domains:
+
+- payment cards of 13 to 19 digits that pass the Luhn check, unbroken or in groups of 3 to 6: all digits but the last, which
+  becomes the new check digit;
+- telephone numbers with a country code, or in the form 3-3-4: the digits after the country code, alike with and without it;
+- social security numbers in the form 3-2-4 with a possible area, group and number: 898 areas x 99 groups x 9,999;
+- IPv4 addresses with octets up to 255 that aren't versions (`v1.2.3.4`): the 32 bits;
+- dates of the years from 400 on that the calendar has, year first, day first or (where that fails) month first: the day in its
+  Gregorian cycle of 400 years (146,097 days = 189 x 773). Days up to the 12th and later ones are permuted apart, by walking
+  the cycle of the permutation until the kind fits again, so a date has one pseudonym in all forms and each form is a
+  permutation, also `03/04/2021`, which is read day first. A walk has up to 128 steps; a value that needs more, for which the
+  chance is under 10^-27, stays;
+- IBANs with right check digits: the digits and the capitals after them, and new check digits;
 - mail addresses: the letters, and the digits, of all but the last label;
 - hexadecimal secrets of 16 to 64 digits given to a token, key, secret or password, in any case: all digits in halves of up to 12;
+- other secrets given to a password (6 to 64 characters) or a token, secret or API key (8 to 64) that have letters and digits:
+  small letters, capitals and digits apart; `ghp_`-like prefixes stay;
 - access keys of AKIA and 16 capitals or digits: the 16.
 """
 
@@ -22,20 +30,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 8
+ROUNDS, WALK = 8, 128
 #: Fixed patterns of the formats, the more special first. Quantifiers are bounded, so a long text costs a bounded look ahead.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-SECRET = r"(?<=(?i:token|key|secret|password) ?[=:] ?[\x22']?)(?<![0-9a-fA-F])[0-9a-fA-F]{16,64}(?![0-9a-zA-Z])"
+GIVEN = r" ?[=:] ?[\x22']?"
+SECRET = rf"(?<=(?<hexfor>(?i:token|key|secret|password|passwd|pwd|passphrase)){GIVEN})(?<![0-9a-fA-F])[0-9a-fA-F]{{16,64}}(?![0-9a-zA-Z])"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-IP = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d]|\.\d)"
-DATE = r"(?<![\d./-])(?:\d{4}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.])(?:0[1-9]|[12]\d|3[01])\2\d{4})(?![\d]|[./-]\d)"
+PREFIXED = r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,120}(?![A-Za-z0-9])"
+WORDLIKE = r"A-Za-z0-9_!@#$%^&*+/=~?"
+MIXED = rf"(?=[{WORDLIKE}.-]{{0,63}}\d)(?=[{WORDLIKE}.-]{{0,63}}[A-Za-z])"
+ASSIGNED = rf"(?<=(?<passfor>(?i:password|passwd|pwd|passphrase)){GIVEN}){MIXED}[{WORDLIKE}.-]{{5,63}}[{WORDLIKE}-](?![{WORDLIKE}-])|(?<=(?<keyfor>(?i:token|secret|api[_ -]?key|access[_ -]?key|auth[_ -]?key)){GIVEN}){MIXED}[{WORDLIKE}.-]{{7,63}}[{WORDLIKE}-](?![{WORDLIKE}-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+IP = r"(?<![\d.vV])(?<!(?i:version|release|build|ver\.?)[ :])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d]|\.\d)"
+DATE = r"(?<![\d./-])(?:\d{4}(?<ds>[-/.])(?:0[1-9]|1[0-2])\k<ds>(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dt>[-/.])(?:0[1-9]|[12]\d|3[01])\k<dt>\d{4})(?![\d]|[./-]\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-GROUPED = r"(?<![\d-])\d{4}([ -])\d{4}\3\d{4}\3\d{4}(?![\d-])"
+PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+(?=(?:\d[ .-]?){7,15}(?![ .-]?\d))[1-9]\d{0,2}(?:[ .-]\d{1,4}){3,6}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+GROUPED = r"(?<![\d-])(?=(?:\d[ -]?){13,19}(?![ -]?\d))\d{3,6}(?<cs>[ -])\d{3,6}(?:\k<cs>\d{3,6}){1,4}(?![\d-])"
 NUMBER = r"(?<![\dA-Za-z.,])\d{13,19}(?![\dA-Za-z]|[.,]\d)"
 #: What a text must have to be searched at all.
-LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|AKIA|(?i:token|key|secret|password) ?[=:]"
-FOUND = "|".join((MAIL, SECRET, ACCESS, IP, DATE, SSN, PHONE, GROUPED, NUMBER))
+LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|\+\d|AKIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|(?i:token|key|secret|password|passwd|pwd|passphrase) ?[=:]"
+FOUND = "|".join((MAIL, SECRET, ACCESS, PREFIXED, ASSIGNED, IBAN, IP, DATE, SSN, PHONE, GROUPED, NUMBER))
+#: Country codes (fixed values) are 1, 7, the two-digit ones here, and else of three digits.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Stand around what is found, before the word that a secret is given to, and before their own stand-ins in texts that have them.
+EDGE, TAG, ESCAPE = "\x01", "\x03", "\x02"
+STAND_INS = {ESCAPE: ESCAPE + "\ue002", EDGE: ESCAPE + "\ue001", TAG: ESCAPE + "\ue003"}
 
 
 def feistel(left: Column, right: Column, a: Column, b: Column, tweak: Column, key: str) -> Column:
@@ -114,7 +133,7 @@ def _number(m: Column, key: str) -> Column:
 
     def whole(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        card = (F.length(d) >= 13) & (luhn(d, 0) % 10 == 0)
+        card = F.length(d).between(13, 19) & (luhn(d, 0) % 10 == 0)
         new = let(digits(body, "card", key), lambda b: F.concat(b, F.pmod(F.lit(10) - luhn(b, 1) % 10, F.lit(10)).cast("string")))
         return F.when(card, new).otherwise(d)
 
@@ -122,11 +141,24 @@ def _number(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(m, COUNTRY, 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     return F.concat(code, refill(rest, let(F.regexp_replace(rest, r"\D", ""), lambda d: digits(d, "phone", key)), "[0-9]"))
 
 
+def _ssn(m: Column, key: str) -> Column:
+    n = lambda at, length: F.substr(m, F.lit(at), F.lit(length)).cast("bigint")
+    area = n(1, 3)
+    left = (area - F.when(area > 666, 2).otherwise(1)) * 99 + n(5, 2) - 1
+    pad = lambda v, width: F.lpad(v.cast("string"), width, "0")
+
+    def text(s: Column) -> Column:
+        place = F.floor(s["l"] / 99)
+        return F.concat_ws("-", pad(place + F.when(place >= 665, 2).otherwise(1), 3), pad(s["l"] % 99 + 1, 2), pad(s["r"] + 1, 4))
+
+    return let(feistel(left, n(8, 4) - 1, F.lit(898 * 99).cast("bigint"), F.lit(9999).cast("bigint"), F.lit("ssn"), key), text)
+
+
 def _ip(m: Column, key: str) -> Column:
     o = F.split(m, r"\.")
     n = lambda k: F.element_at(o, k).cast("int")
@@ -136,22 +168,32 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """A slashed date is day first where the calendar allows it. What the calendar hasn't stays."""
+    """A date that isn't year first is day first where the calendar allows it. What the calendar hasn't stays."""
     first = m.rlike(r"^\d{4}")
     sep = F.when(first, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.lit(3), F.lit(1)))
     p = lambda a, n: F.substr(m, F.lit(a), F.lit(n))
-    day = lambda y, mo, d: F.concat_ws("-", y, mo, d).try_cast("date")
+    day = lambda y, mo, d: F.when(y >= "0400", F.concat_ws("-", y, mo, d).try_cast("date"))
     forms = F.array(
         F.struct(F.lit("ymd").alias("f"), F.when(first, day(p(1, 4), p(6, 2), p(9, 2))).alias("d")),
         F.struct(F.lit("dmy").alias("f"), F.when(~first, day(p(7, 4), p(4, 2), p(1, 2))).alias("d")),
         F.struct(F.lit("mdy").alias("f"), F.when(~first, day(p(7, 4), p(1, 2), p(4, 2))).alias("d")),
     )
+    start = F.lit("2000-01-01").cast("date")
+    early = lambda v: F.dayofmonth(F.date_add(start, v.cast("int"))) <= 12
+
+    def step(v: Column) -> Column:
+        return let(feistel(F.floor(v / 773), F.pmod(v, F.lit(773)), F.lit(189).cast("bigint"), F.lit(773).cast("bigint"), F.lit("date"), key), lambda r: r["l"] * 773 + r["r"])
+
+    def walk(v: Column) -> Column:
+        """The next value of the permutation's cycle whose kind is that of v."""
+        state = lambda x, done: F.struct(x.cast("bigint").alias("v"), done.alias("done"))
+        turn = lambda s, _: F.when(s["done"], s).otherwise(let(step(s["v"]), lambda x: state(x, early(x) == early(v))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state(v, F.lit(False)), turn, lambda s: F.when(s["done"], s["v"]).otherwise(v))
 
     def shift(s: Column) -> Column:
-        at = F.datediff(s["d"], F.lit("2000-01-01").cast("date")).cast("bigint")
+        at = F.datediff(s["d"], start).cast("bigint")
         inner = F.pmod(at, F.lit(146097))
-        moved = feistel(F.floor(inner / 773), F.pmod(inner, F.lit(773)), F.lit(189).cast("bigint"), F.lit(773).cast("bigint"), F.concat(F.lit("date"), s["f"]), key)
-        new = let(moved, lambda r: F.date_add(F.lit("2000-01-01").cast("date"), (at - inner + r["l"] * 773 + r["r"]).cast("int")))
+        new = let(walk(inner), lambda v: F.date_add(start, (at - inner + v).cast("int")))
         part = F.date_format
         return let(new, lambda d: F.when(s["f"] == "ymd", F.concat(part(d, "yyyy"), sep, part(d, "MM"), sep, part(d, "dd"))).when(s["f"] == "dmy", F.concat(part(d, "dd"), sep, part(d, "MM"), sep, part(d, "yyyy"))).otherwise(F.concat(part(d, "MM"), sep, part(d, "dd"), sep, part(d, "yyyy"))))
 
@@ -161,13 +203,17 @@ def _date(m: Column, key: str) -> Column:
 ALPHABET, BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 
+def _letters(s: Column, tweak: str, key: str) -> Column:
+    """Permutes a string of small letters within its length."""
+    return F.translate(symbols(F.translate(s, ALPHABET, BASE26), 26, 12, tweak, key), BASE26, ALPHABET)
+
+
 def _mail(m: Column, key: str) -> Column:
     """Case is lost, as mail addresses have none."""
     low = F.lower(m)
     end = F.regexp_extract(low, r"\.[a-z]{2,24}$", 0)
     body = F.substr(low, F.lit(1), F.length(low) - F.length(end))
-    letters = F.translate(F.regexp_replace(body, "[^a-z]", ""), ALPHABET, BASE26)
-    new_letters = F.translate(symbols(letters, 26, 12, "mail", key), BASE26, ALPHABET)
+    new_letters = _letters(F.regexp_replace(body, "[^a-z]", ""), "mail", key)
     new_digits = let(F.regexp_replace(body, "[^0-9]", ""), lambda d: symbols(d, 10, 12, "mail-digits", key))
     return F.concat(refill(refill(body, new_letters, "[a-z]"), new_digits, "[0-9]"), end)
 
@@ -177,32 +223,70 @@ def _secret(m: Column, key: str) -> Column:
     return let(symbols(F.lower(m), 16, 12, "secret", key), lambda s: F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(s)).otherwise(s))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def _mixed(m: Column, tweak: str, key: str) -> Column:
+    """Small letters, capitals and digits permuted among themselves; what is none of these stays."""
+    kind = lambda c: F.regexp_replace(m, f"[^{c}]", "")
+    out = refill(m, _letters(kind("a-z"), tweak, key), "[a-z]")
+    out = refill(out, F.upper(_letters(F.lower(kind("A-Z")), f"{tweak}-capitals", key)), "[A-Z]")
+    return refill(out, symbols(kind("0-9"), 10, 12, f"{tweak}-digits", key), "[0-9]")
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Right ones only; the letters after the check digits are permuted, and so are the digits."""
+    plain = F.regexp_replace(m, " ", "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)
+    rest = lambda t: F.aggregate(F.split(t, ""), F.lit(0), lambda s, c: ((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+    right = F.length(plain).between(15, 34) & (rest(F.concat(F.substr(plain, F.lit(5), F.lit(30)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+    new = _mixed(F.substr(plain, F.lit(5), F.lit(30)), "iban", key)
+    country = F.substr(plain, F.lit(1), F.lit(2))
+    check = lambda b: F.lpad((98 - rest(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(right, refill(m, let(new, lambda b: F.concat(country, check(b), b)), "[A-Z0-9]")).otherwise(m)
+
+
+def pseudonym(m: Column, given: Column, key: str) -> Column:
+    """given: the word that a secret is given to, or an empty string."""
     is_ = lambda p: m.rlike(f"^(?:{p})$")
+    prefix = F.regexp_extract(m, "^(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)", 0)
     return (
-        F.when(m.contains("@"), _mail(m, key))
-        .when(m.rlike("^[0-9a-fA-F]{16,64}$") & ~m.rlike("^[0-9]{16,19}$"), _secret(m, key))
-        .when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), F.upper(symbols(F.lower(F.substr(m, F.lit(5), F.lit(16))), 36, 11, "access", key))))
+        F.when(m.contains("@") & is_(MAIL), _mail(m, key))
+        .when((given != "") & m.rlike("^[0-9a-fA-F]{16,64}$"), _secret(m, key))
+        .when(is_(ACCESS), F.concat(F.lit("AKIA"), F.upper(symbols(F.lower(F.substr(m, F.lit(5), F.lit(16))), 36, 11, "access", key))))
+        .when(is_(PREFIXED), F.concat(prefix, _mixed(F.substr(m, F.length(prefix) + 1, F.length(m)), "prefixed", key)))
+        .when((given != "") & m.rlike(f"^{MIXED}[{WORDLIKE}.-]{{6,64}}$"), _mixed(m, "given", key))
+        .when(is_(IBAN), _iban(m, key))
         .when(is_(IP), _ip(m, key))
         .when(is_(DATE), _date(m, key))
-        .when(is_(SSN), refill(m, digits(F.regexp_replace(m, "-", ""), "ssn", key), "[0-9]"))
+        .when(is_(SSN), _ssn(m, key))
         .when(is_(PHONE), _phone(m, key))
         .otherwise(_number(m, key))
     )
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
-    """docs with pseudonyms in `text` and, if `count` names a column, how many values were replaced. Null and empty texts
-    stay; a text without such values stays as it is, byte for byte; rows are kept one to one, in any number and with any
-    other columns. Row by row, so nothing is shuffled and no group is gathered."""
-    found, made = f"hits-{uuid.uuid4().hex}", f"made-{uuid.uuid4().hex}"
-    looks = F.col(text).rlike(LOOKS)
-    hits = F.when(looks, F.regexp_extract_all(F.col(text), F.lit(FOUND), F.lit(0)))
-    rows = docs.withColumn(found, hits).withColumn(made, F.transform(F.col(found), lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(F.col(text), FOUND, -1), F.col(made), lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    new = F.when(F.size(found) > 0, joined).otherwise(F.col(text)).alias(text)
+    """docs with pseudonyms in `text` and, if `count` names a column, how many values were replaced. An empty key is an
+    error. Null and empty texts stay; a text without such values stays as it is, byte for byte; rows are kept one to one, in
+    any number and with any other columns. A text is searched once, row by row, so nothing is shuffled and no group is gathered."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    parts, made = f"parts-{uuid.uuid4().hex}", f"made-{uuid.uuid4().hex}"
+    body = F.col(f"`{text}`")
+    safe = body
+    for mark, stand_in in STAND_INS.items():
+        safe = F.replace(safe, F.lit(mark), F.lit(stand_in))
+    marked = F.regexp_replace(safe, FOUND, f"{EDGE}$0{TAG}${{hexfor}}${{passfor}}${{keyfor}}{EDGE}")
+    cut = F.when(body.rlike(LOOKS), F.split(marked, EDGE, -1))  # found values have the odd places
+
+    def one(p: Column, i: Column) -> Column:
+        hit = let(F.split(p, TAG, -1), lambda s: let(F.get(s, F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, F.get(s, F.lit(1)), key).alias("new"))))
+        return F.when(i % 2 == 1, hit).otherwise(F.struct(p.alias("old"), p.alias("new")))
+
+    rows = docs.withColumn(parts, cut).withColumn(made, F.when(F.size(parts) > 1, F.transform(parts, one)))
+    joined = F.array_join(F.transform(made, lambda s: s["new"]), "")
+    for mark, stand_in in reversed(STAND_INS.items()):
+        joined = F.replace(joined, F.lit(stand_in), F.lit(mark))
+    new = F.when(F.col(made).isNotNull(), joined).otherwise(body).alias(text)
     out = [new if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
     if count is not None:
-        changed = F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x)).cast("long")
-        out.append(F.when(F.col(found).isNotNull(), changed).otherwise(F.lit(0)).alias(count))
+        changed = F.size(F.filter(made, lambda s: s["old"] != s["new"])).cast("long")
+        out.append(F.when(F.col(made).isNotNull(), changed).otherwise(F.lit(0)).alias(count))
     return rows.select(*out)

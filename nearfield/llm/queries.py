@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +42,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir))
 
 
-#: Stands for the secret that a deployment gives.
-PSEUDONYM_KEY = "replace-me"
+#: The setting that holds the secret key of pseudonyms, and the key of trials without one, which anybody can know.
+PSEUDONYM_KEY, TRIAL_KEY = "spark.nearfield.pseudonymKey", "replace-me"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key. Where none is set, the trial key, with a warning: such pseudonyms can be undone."""
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    if not key:
+        warnings.warn(f"{PSEUDONYM_KEY} isn't set: pseudonyms are made with a public key", stacklevel=2)
+    return key or TRIAL_KEY
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import pii
 
-    return pii.pseudonymise(_docs(spark, sf_dir), PSEUDONYM_KEY, count="n_replaced")
+    return pii.pseudonymise(_docs(spark, sf_dir), pseudonym_key(spark), count="n_replaced")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

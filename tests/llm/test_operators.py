@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small and odd tables."""
 
+import datetime
 import hashlib
 import random
 import unicodedata
@@ -333,13 +334,160 @@ def test_pii_finds_secrets_in_any_case(spark):
     assert all(r["n"] == 1 for r in got.values())
 
 
+class Plain:
+    """The pseudonyms again, in plain Python."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def feistel(self, left, right, a, b, tweak):
+        for i in range(1, 9):
+            f = lambda v: int(hashlib.sha256(f"{self.key}|{tweak}|{i}|{v}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+            if i % 2:
+                left = (left + f(right) % a) % a
+            else:
+                right = (right + f(left) % b) % b
+        return left, right
+
+    def symbols(self, s, alphabet, width, tweak):
+        base, out = len(alphabet), ""
+        num = lambda t: sum(alphabet.index(c) * base ** (len(t) - 1 - k) for k, c in enumerate(t))
+        text = lambda v, n: "".join(alphabet[v // base**k % base] for k in reversed(range(n)))
+        for i in range(0, len(s), 2 * width):
+            part = s[i : i + 2 * width]
+            half = len(part) // 2
+            x, y = self.feistel(num(part[:half]), num(part[half:]), base**half, base ** (len(part) - half), f"{tweak}{len(s)}.{i // (2 * width)}")
+            out += text(x, half) + text(y, len(part) - half)
+        return out
+
+    def digits(self, d, tweak):
+        half = len(d) // 2
+        x, y = self.feistel(int(d[:half] or 0), int(d[half:]), 10**half, 10 ** (len(d) - half), f"{tweak}{len(d)}")
+        return (str(x).zfill(half) if half else "") + str(y).zfill(len(d) - half)
+
+    def day(self, d):
+        start = datetime.date(2000, 1, 1)
+        at = (d - start).days
+        inner = v = at % 146097
+        early = lambda x: (start + datetime.timedelta(x)).day <= 12
+        while True:
+            x, y = self.feistel(v // 773, v % 773, 189, 773, "date")
+            v = x * 773 + y
+            if early(v) == early(inner):
+                return start + datetime.timedelta(at - inner + v)
+
+    def ssn(self, s):
+        area, group, number = map(int, s.split("-"))
+        x, y = self.feistel((area - (2 if area > 666 else 1)) * 99 + group - 1, number - 1, 898 * 99, 9999, "ssn")
+        return f"{x // 99 + (2 if x // 99 >= 665 else 1):03}-{x % 99 + 1:02}-{y + 1:04}"
+
+    def ip(self, s):
+        o = [int(x) for x in s.split(".")]
+        x, y = self.feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
+        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+
+    def mixed(self, s, tweak):
+        low = "abcdefghijklmnopqrstuvwxyz"
+        new = [iter(self.symbols("".join(c for c in s if c in kind), kind, 12, tweak + end)) for kind, end in ((low, ""), ("0123456789", "-digits"))]
+        capitals = iter(self.symbols("".join(c.lower() for c in s if c in low.upper()), low, 12, tweak + "-capitals").upper())
+        return "".join(next(new[0]) if c in low else next(capitals) if c in low.upper() else next(new[1]) if c.isdigit() else c for c in s)
+
+    def card(self, d):
+        b = self.digits(d[:-1], "card")
+        return next(b + c for c in "0123456789" if luhn(b + c))
+
+    def iban(self, s):
+        b = self.mixed(s[4:], "iban")
+        value = lambda t: int("".join(str(int(c, 36)) for c in t))
+        return f"{s[:2]}{98 - value(b + s[:2] + '00') % 97:02}{b}"
+
+
+def pseudonyms(spark, texts, key="key"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(pii.pseudonymise(df, key).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_pii_is_its_plain_version(spark):
+    r, p = random.Random(12), Plain("key")
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    cases = []
+    for _ in range(40):
+        d = datetime.date(2000, 1, 1) + datetime.timedelta(r.randrange(-300000, 300000))
+        e = p.day(d)
+        cases += [(d.strftime(f"%Y{c}%m{c}%d").zfill(10), e.strftime(f"%Y{c}%m{c}%d").zfill(10)) for c in "-/."]
+        cases += [(f"{d.day:02}/{d.month:02}/{d.year}", f"{e.day:02}/{e.month:02}/{e.year}")]
+        if d.day > 12:
+            cases += [(f"{d.month:02}/{d.day:02}/{d.year}", f"{e.month:02}/{e.day:02}/{e.year}")]
+        s = f"{r.choice([1, 5, 665, 667, 899, 123]):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"
+        cases += [(s, p.ssn(s))]
+        s = ".".join(str(r.randrange(256)) for _ in range(4))
+        cases += [(s, p.ip(s))]
+        d = p.digits(t := n(10), "phone")
+        group = lambda t: f"({t[:3]}) {t[3:6]}-{t[6:]}"
+        cases += [(f"+1{t}", f"+1{d}"), (f"+1 {group(t)}", f"+1 {group(d)}"), (group(t), group(d)), (f"+1 {t[:3]} {t[3:6]} {t[6:]}", f"+1 {d[:3]} {d[3:6]} {d[6:]}")]
+        t = n(9)
+        d = p.digits(t, "phone")
+        split = lambda t: " ".join((t[:1], t[1:3], t[3:5], t[5:7], t[7:]))
+        cases += [(f"+33 {split(t)}", f"+33 {split(d)}")]
+        for k in (13, 15, 16, 19):
+            body = "4" + n(k - 2)
+            t = next(body + c for c in "0123456789" if luhn(body + c))
+            cases += [(t, p.card(t))]
+            if k == 15:
+                cases += [(f"{t[:4]} {t[4:10]} {t[10:]}", f"{p.card(t)[:4]} {p.card(t)[4:10]} {p.card(t)[10:]}")]
+            if k >= 16:
+                join = lambda t: "-".join(t[a : a + 4] for a in range(0, len(t), 4))
+                cases += [(join(t), join(p.card(t)))]
+        t = f"{r.choice(['Hunter', 'x', 'PASS'])}{n(5)}{r.choice('!aZ')}"
+        cases += [(f"password: {t}", f"password: {p.mixed(t, 'given')}"), (f'API_KEY="ghp_{t * 4}"', f'API_KEY="ghp_{p.mixed(t * 4, "prefixed")}"')] if "!" not in t else [(f"pwd={t}", f"pwd={p.mixed(t, 'given')}")]
+        body = n(4) + n(14)
+        t = f"DE{98 - int(body + '131400') % 97:02}{body}"
+        cases += [(t, p.iban(t)), (" ".join(t[a : a + 4] for a in range(0, 22, 4)), " ".join(p.iban(t)[a : a + 4] for a in range(0, 22, 4)))]
+        t = "GB82WEST12345698765432"
+        cases += [(t, p.iban(t)), ("GB82 WEST 1234 5698 7654 32", " ".join(p.iban(t)[a : a + 4] for a in range(0, 22, 4)))]
+        t = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        cases += [(f"token = '{t}'", f"token = '{p.symbols(t, '0123456789abcdef', 12, 'secret')}'")]
+    got = pseudonyms(spark, [f"see {a} there" for a, _ in cases])
+    assert [(a, g) for (a, b), g in zip(cases, got) if g != f"see {b} there"] == []
+    assert all(a != b for a, b in cases)
+
+
+def test_pii_leaves_the_rest(spark):
+    texts = ["v1.2.3.4 and version 1.2.3.4", "password: required", "the key = value", "DE00 3704 0044 0532 0130 00", "on 0399-01-01", "4465 7583 8288 9438", "a \x01\x02\ue001\x03 123 b", "666-12-1234 and 900-12-1234 and 123-00-1234", "1,234,567,890,123,456", "token: monday", "2021-02-29"]
+    assert pseudonyms(spark, texts) == texts
+    odd = pseudonyms(spark, ["\x01\x02\x03 10.0.0.1 \x03\x02\x01\x02\ue002"])[0]
+    assert odd == f"\x01\x02\x03 {Plain('key').ip('10.0.0.1')} \x03\x02\x01\x02\ue002"
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.range(1).selectExpr("'a' AS text"), "")
+
+
 def test_feistel_permutes(spark):
     four = spark.range(10000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     assert four.select(pii.digits(F.col("d"), "t", "k")).distinct().count() == 10000
     three = spark.range(26**3).select(F.lower(F.lpad(F.conv(F.col("id").cast("string"), 10, 26), 3, "0")).alias("d"))
     assert three.select(pii.symbols(F.col("d"), 26, 12, "t", "k")).distinct().count() == 26**3
-    days = spark.range(146097).select(F.concat(F.lit("on "), F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).cast("string")).alias("text"))
-    assert pii.pseudonymise(days, "k").distinct().count() == 146097
+
+
+@pytest.mark.parametrize("form", ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"])
+def test_dates_are_permuted(spark, form):
+    """As many distinct texts come out of all dates of a cycle, in both slashed readings, as go in."""
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))
+    days = spark.range(146097).select(F.concat(F.lit("on "), F.date_format(day, form)).alias("text"))
+    if form == "MM/dd/yyyy":
+        days = days.union(spark.range(146097).select(F.concat(F.lit("on "), F.date_format(day, "dd/MM/yyyy")).alias("text")))
+    days = days.distinct().cache()
+    out = pii.pseudonymise(days, "k")
+    assert out.distinct().count() == days.count() and out.exceptAll(days).count() == 0
+
+
+def test_ssns_are_permuted_within_the_valid_ones(spark):
+    n = F.col("id") * 7919 % (898 * 99 * 9999)  # a spread of the valid numbers
+    area = F.floor(n / (99 * 9999)) + 1
+    pad = lambda v, w: F.lpad(v.cast("string"), w, "0")
+    text = F.concat_ws("-", pad(F.when(area >= 666, area + 1).otherwise(area), 3), pad(F.floor(n / 9999) % 99 + 1, 2), pad(n % 9999 + 1, 4))
+    some = spark.range(100000).select(text.alias("text"))
+    out = pii.pseudonymise(some, "k")
+    assert out.distinct().count() == 100000 and out.where(~F.col("text").rlike(f"^{pii.SSN}$")).count() == 0
 
 
 def brute_classes(rows, least=0.8):

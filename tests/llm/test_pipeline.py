@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearfield.llm import langid, pii, units
-from nearfield.llm.queries import PSEUDONYM_KEY
+from nearfield.llm.queries import pseudonym_key
 from tests.llm.test_operators import brute_classes, check_packing
 
 
@@ -25,7 +25,7 @@ def test_stages(spark, sf, tmp_path):
     left = {max(v): left[max(v)] for v in by.values()}
     classes = brute_classes([(k, r["text"]) for k, r in left.items()])
     left = {k for k, c in classes.items() if k == c}
-    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs.where(F.col("doc_id").isin(list(left))), PSEUDONYM_KEY).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs.where(F.col("doc_id").isin(list(left))), pseudonym_key(spark)).collect()}
     lib = units.library(P.path("word_bpe_49k.json"))
     want = {}
     for k, t in texts.items():
