@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import exact_dedup, langid, near_dedup, packing, pii
-from nearfield.llm.queries import PSEUDONYM_KEY, vocabulary
+from nearfield.llm.queries import pseudonym_key, vocabulary
 from nearfield.llm.storage import bounded_batches, stored
 
 
@@ -32,7 +32,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows."""
-    out = pii.pseudonymise(docs, PSEUDONYM_KEY)
+    out = pii.pseudonymise(docs, pseudonym_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
