@@ -29,35 +29,34 @@ def boundary() -> re.Pattern:
 
 
 def spliced_count(text: str, encode, chunk: int, overlap: int) -> int:
-    """Tokens of text. encode(part) gives the start of every token in part. A chunk begins `overlap` characters before
-    the last one ends; the two are spliced at a place that is a pretoken boundary by the characters around it and
-    begins a token in both. Up to there the earlier chunk counts, from there the later. Where no such place is found
-    the overlap is doubled; at last the later chunk begins at the last splice, which is a boundary itself."""
+    """Tokens of text. encode(part) gives places where tokens of part begin and how many begin from each to the next. A chunk
+    begins `overlap` characters before the last one ends; the two are spliced at a place that is a pretoken boundary by the
+    characters around it and begins a token in both. Up to there the earlier chunk counts, from there the later. Where no
+    such place is found the overlap is doubled; at last the later chunk begins at the last splice, which is a boundary itself."""
     edge = boundary()
-    total, begin, splice = 0, 0, 0  # tokens before splice are counted; the chunk from begin is right from splice on
+    total, splice = 0, 0  # tokens before splice are counted; starts is right from splice on
     end = min(len(text), chunk)
-    starts = np.asarray(encode(text[begin:end])) + begin
+    starts, tokens = encode(text[:end])
     while end < len(text):
         wide = overlap
         while True:
             nxt = max(end - wide, splice)
             last = min(len(text), max(nxt + chunk, end + overlap))
-            later = np.asarray(encode(text[nxt:last])) + nxt
+            if nxt == splice:  # nothing of the earlier chunk is kept
+                at, last = splice, min(len(text), max(last, end + chunk))
+            later, more = encode(text[nxt:last])
+            later = later + nxt
             if nxt == splice:
-                at = splice
                 break
-            common = np.intersect1d(starts, later)
+            common = np.intersect1d(starts[np.searchsorted(starts, nxt) :], later[: np.searchsorted(later, end)], assume_unique=False)
             common = common[(common > max(nxt, splice)) & (common <= end - 8)]
             at = next((p for p in common[::-1].tolist() if edge.match(text, p)), None)
             if at is not None:
                 break
             wide *= 2
-        if at == splice:  # nothing of the earlier chunk is kept
-            last = min(len(text), max(last, end + chunk))
-            later = np.asarray(encode(text[nxt:last])) + nxt
-        total += int(np.count_nonzero((starts >= splice) & (starts < at)))
-        begin, splice, starts, end = nxt, at, later, last
-    return total + int(np.count_nonzero(starts >= splice))
+        total += int(tokens[(starts >= splice) & (starts < at)].sum())
+        splice, starts, tokens, end = at, later, more, last
+    return total + int(tokens[starts >= splice].sum())
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
@@ -69,7 +68,6 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = units.encoder(vocabulary)
-        starts = lambda part: [a for a, _ in enc.library.encode(part, add_special_tokens=False).offsets]
         for b in units.pieces(batches, "t"):
             texts = b.column("t")
             long = np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)) > chunk
@@ -77,7 +75,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text: str = "text", out: str
             _, ends = enc.batch(short)
             n = np.diff(ends)
             for k in np.flatnonzero(long).tolist():
-                n[k] = spliced_count(texts[k].as_py(), starts, chunk, overlap)
+                n[k] = spliced_count(texts[k].as_py(), enc.starts, chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(n, pa.int64())], names=["r", "n"])
 
     inner = docs.select(F.struct(*[docs[c] for c in rest]).alias("r"), docs[text].alias("t"))

@@ -136,6 +136,16 @@ class UnitEncoder:
         known = self.known
         return b"".join([known.get(w) or self.word(w) for w in self.words.findall(text.lower() if self.end else text)])
 
+    def starts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places in text where tokens begin, how many tokens begin at each and before the next place). A byte-level
+        vocabulary's pretokens are told as a whole where their pattern is known, and single tokens elsewhere."""
+        if "<|" in text or self.end or not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
+            at = np.array([a for a, _ in self.library.encode(text, add_special_tokens=False).offsets], np.int64)
+            return at, np.ones(len(at), np.int64)
+        words, known = self.words.findall(text), self.known
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        return np.cumsum(size) - size, np.fromiter((len(known.get(w) or self.word(w)) >> 2 for w in words), np.int64, len(words))
+
     def units(self, names: list[str]) -> list[bytes]:
         """Each with the space that was cut off, which word vocabularies don't have."""
         full = [u[1:] if u[:1] == MARK else u if self.end or u[:1] == "\n" else " " + u for u in names]
