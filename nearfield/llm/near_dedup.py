@@ -11,12 +11,18 @@ Similarity is that of an alignment: L k-mers matched in order, L / (|A| + |B| -
 in a text, the best alignment is a longest increasing run of matched places; only matches inside the band |i - j| that a
 similarity of the threshold allows can be part of one, so the others are left out.
 
-Texts with the same words are one node. Buckets of up to 32 nodes are compared in all pairs. In a larger bucket each
-node is compared with a center, the node that shares most places in large buckets; those that are similar to it are of
-its class. The large buckets of a center are one group, and each of the group's nodes of other classes is compared with
-every node of the group: in blocks, where a matrix product counts the shared k-mers of all pairs, which bounds
-the alignment, and only pairs that can reach the threshold are aligned. So no link between classes is lost, and no pair is
-a row of its own before it is verified.
+Texts with the same words are one node, named by its row of words and never by a document's id. What is compared are the
+nodes' k-mers, made once for the nodes that meet others. Buckets of up to 32 nodes are compared in all pairs of like lengths. In
+a larger bucket each node is compared with a center, the node that shares most places in large buckets; those that are
+similar to it are of its class. The large buckets of a center are one group, and what is outside the center's class there must
+still be held against the group's other classes, without forming all pairs:
+
+- a group of up to BLOCK nodes is one block, where a matrix product counts the shared k-mers, which bounds the alignment;
+- a larger group is split by prefixes. Two texts of similarity s share at least one of the (1 - s) * n + 1 k-mers that are
+  rarest among all such groups. So nodes of different classes that share none of those can't be linked, and those that share
+  one meet in its bucket. These buckets go through the same steps: all pairs, or a center, and blocks for what is left.
+
+Both ways are exact, so no link between classes is lost, and no pair is a row of its own before its bucket asks for it.
 """
 
 from __future__ import annotations
@@ -29,14 +35,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.llm import units
-from nearfield.llm.storage import stored
+from nearfield.llm.storage import Scratch
 
 WORD = re.compile(r"\w+")
-K, SIMILARITY, BANDS, TAKEN, ALL_PAIRS = 5, 0.8, 16, 3, 32
+K, SIMILARITY, BANDS, TAKEN, ALL_PAIRS, BLOCK = 5, 0.8, 16, 3, 32, 1024
 KNOWN_WORDS = 150_000
 
 
@@ -128,7 +135,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def sketches(docs: DataFrame, key: str, text: str, k: int, bands: int, taken: int) -> DataFrame:
-    """id, word_key (names the row of words), n_kmers, keys."""
+    """id (the key as it is), text_key (SHA-256 of the text), word_key (names the row of words), n_kmers, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(k, bands, taken)
@@ -140,47 +147,63 @@ def sketches(docs: DataFrame, key: str, text: str, k: int, bands: int, taken: in
                 name.append(xxhash.xxh3_128_digest(words.tobytes()))
                 n.append(len(kmers))
                 keys.append(hasher.bands_of(kmers))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(name, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "word_key", "n_kmers", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_key"), pa.array(name, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_key", "word_key", "n_kmers", "keys"])
 
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t")).mapInArrow(run, "id long, word_key binary, n_kmers long, keys array<long>")
+    inner = docs.select(docs[key].alias("id"), text_key(docs[text]).alias("text_key"), docs[text].alias("t"))
+    schema = T.StructType([inner.schema["id"], inner.schema["text_key"], T.StructField("word_key", T.BinaryType()), T.StructField("n_kmers", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return inner.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, t) have at least that similarity."""
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def kmers_of(nodes: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
+    """node, kmers (unsigned 64-bit integers in a row) of nodes (node, text_key). A text that many rows hold moves once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(k)
+        for b in units.pieces(batches, "t"):
+            made = [hasher.kmers(hasher.words(t or "")).tobytes() for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(made, pa.binary())], names=["node", "kmers"])
+
+    texts = docs.select(text_key(docs[text]).alias("key"), docs[text].alias("t")).groupBy("key").agg(F.first("t").alias("t"))
+    return nodes.join(texts, F.col("text_key") == F.col("key")).select("node", "t").mapInArrow(run, "node long, kmers binary")
+
+
+def verified(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose nodes have at least that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            last: tuple[int | None, np.ndarray] = (None, np.empty(0))
-            for a, tx, ty in zip(b.column("a").to_pylist(), b.column("ta").to_pylist(), b.column("tb").to_pylist()):
-                if last[0] != a:
-                    last = (a, hasher.kmers(hasher.words(tx or "")))
-                out.append(similarity(last[1], hasher.kmers(hasher.words(ty or "")), least))
-            sim = np.array(out, float)
+            sides = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in ("ka", "kb"))
+            sim = np.array([similarity(x, y, least) for x, y in zip(*sides)], float)
             ok = pa.array(sim >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(sim[sim >= least])], names=["a", "b", "similarity"])
         units.release()
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    both = first.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    first = pairs.join(kmers.select(F.col("node").alias("a"), F.col("kmers").alias("ka")), "a")
+    both = first.join(kmers.select(F.col("node").alias("b"), F.col("kmers").alias("kb")), "b")
+    return both.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id, class_id (the smallest id) of each node of the edges (a, b): every round a node takes the smallest label of its
     neighbours and itself, then that label's label, until nothing changes. Labels are tables in the shared folder."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        seen = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        near = labels.join(seen, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("l"))
-        jump = labels.select(F.col("id").alias("of"), F.col("label").alias("next"))
-        new = stored(near.join(jump, F.col("l") == F.col("of"), "left").select("id", "old", F.least("l", F.coalesce("next", "l")).alias("label")), "labels")
-        moved = new.where("label <> old").limit(1).count()
-        labels = new.select("id", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "class_id")
+    with Scratch(edges.sparkSession) as tables:
+        both = tables.stored(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+        last = tables.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+        while True:
+            labels = last.select("id", "label")
+            seen = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
+            near = labels.join(seen, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("l"))
+            jump = labels.select(F.col("id").alias("of"), F.col("label").alias("next"))
+            new = tables.stored(near.join(jump, F.col("l") == F.col("of"), "left").select("id", "old", F.least("l", F.coalesce("next", "l")).alias("label")), "labels")
+            tables.drop(last)
+            last = new
+            if new.where("label <> old").isEmpty():
+                tables.keep(new)
+                return new.select("id", F.col("label").alias("class_id"))
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -207,24 +230,25 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
-def links_across(groups: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+def links_across(groups: DataFrame, kmers: DataFrame, least: float, tables: Scratch) -> DataFrame:
     """groups: g, node, n_kmers, class_id, main (the class of the group's center). Links (a, b) that join each node outside
-    the main class to each other class of its group to which it has one."""
-    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_kmers").alias("w"), F.count_if(F.col("class_id") != F.col("main")).alias("u"), F.sum(F.when(F.col("class_id") != F.col("main"), F.col("n_kmers")).otherwise(0)).alias("uw")).where("u > 0")
-    cut = lambda n, w, rows, kmers: F.ceil(F.greatest(F.col(n) / rows, F.col(w) / kmers)).cast("int")
-    sizes = stored(sizes.select(F.col("g").alias("of"), cut("u", "uw", 256, 1 << 17).alias("ub"), cut("n", "w", 1024, 1 << 19).alias("xb")), "groups")
+    the main class to each other class of its group to which it has one. A group is cut into blocks of outsiders and of
+    members, and each pair of blocks is a task's."""
+    outside = F.col("class_id") != F.col("main")
+    sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_kmers").alias("w"), F.count_if(outside).alias("u"), F.sum(F.when(outside, F.col("n_kmers")).otherwise(0)).alias("uw")).where("u > 0")
+    cut = lambda n, w, rows, size: F.ceil(F.greatest(F.col(n) / rows, F.col(w) / size)).cast("int")
+    sizes = tables.stored(sizes.select(F.col("g").alias("of"), cut("u", "uw", 256, 1 << 17).alias("ub"), cut("n", "w", BLOCK, 1 << 19).alias("xb")), "groups")
     rows = groups.join(sizes, F.col("g") == F.col("of"))
-    full = stored(rows.join(texts, F.col("node") == F.col("id")).dropDuplicates(["g", "node"]).select("g", "node", "class_id", "main", "ub", "xb", "t"), "group-texts")
+    full = tables.stored(rows.join(kmers.withColumnRenamed("node", "id"), F.col("node") == F.col("id")).select("g", "node", "class_id", "main", "ub", "xb", "kmers"), "group-kmers")
     part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = full.where(F.col("class_id") != F.col("main")).select("g", part("ub", 1).alias("i"), every("xb").alias("j"), "node", "class_id", "t")
-    right = full.select("g", every("ub").alias("i"), part("xb", 2).alias("j"), "node", "class_id", "t")
+    left = full.where(outside).select("g", part("ub", 1).alias("i"), every("xb").alias("j"), "node", "class_id", "kmers")
+    right = full.select(F.col("g").alias("h"), every("ub").alias("i"), part("xb", 2).alias("j"), *[F.col(c).alias(c) for c in ("node", "class_id", "kmers")])
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"a": [], "b": [], "similarity": []}
         if len(x) and len(y):
-            hasher = Hasher(k)
-            kx, ky = ([hasher.kmers(hasher.words(t or "")) for t in f["t"]] for f in (x, y))
+            kx, ky = ([np.frombuffer(v, np.uint64) for v in f["kmers"]] for f in (x, y))
             nx, ny = (np.array([len(v) for v in f]) for f in (kx, ky))
             cx, cy = x["class_id"].to_numpy(), y["class_id"].to_numpy()
             total = nx[:, None] + ny[None, :]
@@ -242,38 +266,100 @@ def links_across(groups: DataFrame, texts: DataFrame, k: int, least: float) -> D
                         out["similarity"].append(sim)
         return pd.DataFrame({"a": np.array(out["a"], np.int64), "b": np.array(out["b"], np.int64), "similarity": np.array(out["similarity"], float)})
 
-    return left.groupBy("g", "i", "j").cogroup(right.groupBy("g", "i", "j")).applyInPandas(compare, "a long, b long, similarity double")
+    return left.groupBy("g", "i", "j").cogroup(right.groupBy("h", "i", "j")).applyInPandas(compare, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, least: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
-    """key, class_id (the smallest key of its class), kept (the class_id's own row) of each row.
-    Classes are the components of the links, a link being a verified similarity of `least` or more. Texts with the same words are
-    always of one class, also texts without words (null, empty), which are like no other. Rows that repeat a key are alike.
-    Null keys get negative ones from their words. An empty table gives no rows; other columns aren't read."""
-    made = stored(sketches(docs, key, text, k, bands, taken), "sketches")
-    named = F.coalesce(F.min("id"), -F.abs(F.xxhash64("word_key") % (2**61)) - 1)
-    nodes = stored(made.groupBy("word_key").agg(named.alias("node"), F.first("n_kmers").alias("n_kmers"), F.first("keys").alias("keys")), "nodes")
-    members = nodes.select(F.explode("keys").alias("key"), "node", "n_kmers")
-    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "of"), "buckets")
-    placed = stored(members.join(sizes, F.col("key") == F.col("of")).select("key", "node", "n_kmers", "n"), "bucketed")
-    few = placed.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_kmers"))).alias("m"))
+def bucketed(members: DataFrame, least: float, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """members: key, node, n_kmers, class_id (nodes of one class needn't be compared). (pairs a < b to be verified, groups
+    g, node, n_kmers): all pairs of small buckets, and of each group its center g with every other node."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "of")
+    placed = tables.stored(members.join(sizes, F.col("key") == F.col("of")).select("key", "node", "n_kmers", "class_id", "n"), "bucketed")
+    few = placed.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("node", "n_kmers", "class_id"))).alias("m"))
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  no alignment of more unequal lengths reaches `least`
-    two = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y: (y["node"] > x["node"]) & close(x["n_kmers"], y["n_kmers"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    worth = lambda x, y: (y["node"] > x["node"]) & (y["class_id"] != x["class_id"]) & close(x["n_kmers"], y["n_kmers"])
+    two = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: worth(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.a", "p.b")
     large = placed.where(F.col("n") > ALL_PAIRS)
-    weight = stored(large.groupBy("node").agg(F.sum("n").alias("w")).withColumnRenamed("node", "m"), "weights")
-    large = stored(large.join(weight, F.col("node") == F.col("m")).select("key", "node", "n_kmers", "w"), "large")
-    centers = stored(large.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("x"))).alias("c")).select(F.col("key").alias("of"), (-F.col("c.x")).alias("g")), "centers")
-    groups = stored(large.join(centers, F.col("key") == F.col("of")).select("g", "node", "n_kmers").distinct(), "members")
-    star = groups.where("g <> node").select(F.least("g", "node").alias("a"), F.greatest("g", "node").alias("b"))
-    texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t")).where("id IS NOT NULL")
-    links = stored(verified(stored(pairs.union(star).distinct(), "pairs"), texts, k, least).dropDuplicates(["a", "b"]), "links")
+    weight = large.groupBy("node").agg(F.sum("n").alias("w")).withColumnRenamed("node", "m")
+    weighed = tables.stored(large.join(weight, F.col("node") == F.col("m")).select("key", "node", "n_kmers", "class_id", "w"), "large")
+    centers = weighed.groupBy("key").agg(F.max(F.struct(F.col("w"), (-F.col("node")).alias("x"), F.col("n_kmers"), F.col("class_id"))).alias("c"))
+    centers = centers.select(F.col("key").alias("of"), (-F.col("c.x")).alias("g"), F.col("c.n_kmers").alias("gn"), F.col("c.class_id").alias("gc"))
+    groups = tables.stored(weighed.join(centers, F.col("key") == F.col("of")).select("g", "gn", "gc", "node", "n_kmers", "class_id").distinct(), "members")
+    star = groups.where((F.col("g") != F.col("node")) & (F.col("gc") != F.col("class_id")) & close(F.col("gn"), F.col("n_kmers")))
+    star = star.select(F.least("g", "node").alias("a"), F.greatest("g", "node").alias("b"))
+    return tables.stored(pairs.union(star).distinct(), "pairs"), groups.select("g", "node", "n_kmers")
+
+
+def with_main(groups: DataFrame, classes: DataFrame, tables: Scratch) -> DataFrame:
+    """groups with class_id of each node, main (that of the center), n and u (nodes, and those outside main, of the group);
+    only groups that have any outside."""
+    own = tables.stored(groups.join(classes, F.col("node") == F.col("id"), "left").select("g", "node", "n_kmers", F.coalesce("class_id", "node").alias("class_id")), "classed")
+    main = own.where("g = node").select(F.col("g").alias("of"), F.col("class_id").alias("main"))
+    both = tables.stored(own.join(main, F.col("g") == F.col("of")).select("g", "node", "n_kmers", "class_id", "main"), "mained")
+    sizes = both.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("class_id") != F.col("main")).alias("u")).where("u > 0").withColumnRenamed("g", "of")
+    return both.join(sizes, F.col("g") == F.col("of")).drop("of")
+
+
+def prefixes(groups: DataFrame, kmers: DataFrame, least: float, tables: Scratch) -> DataFrame:
+    """key, node, n_kmers, class_id: each node of groups in the buckets of its group and of the k-mers in its prefix, which
+    are the rarest ones of all these nodes. K-mers of one node alone are counted in the prefix but make no bucket."""
+    nodes = groups.select("node").distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.frombuffer(v, np.int64) for v in b.column("kmers").to_pylist()]
+            node = np.repeat(b.column("node").to_numpy(), [len(v) for v in values])
+            flat = np.concatenate(values) if values else np.empty(0, np.int64)
+            for a in range(0, len(flat), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(node[a : a + (1 << 18)]), pa.array(flat[a : a + (1 << 18)])], names=["node", "kmer"])
+
+    single = tables.stored(nodes.join(kmers, "node").mapInArrow(read, "node long, kmer long"), "single-kmers")
+    often = single.groupBy("kmer").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("kmer", "k")
+    ranked = single.join(often, F.col("kmer") == F.col("k")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "kmer"))).alias("m"))
+    size = F.size("m") - F.ceil(F.size("m") * F.lit(least) - 1e-9).cast("int") + 1
+    kept = ranked.select(F.col("node").alias("of"), F.explode(F.filter(F.slice("m", F.lit(1), size), lambda x: x["f"] > 1)).alias("x"))
+    return groups.join(kept, F.col("node") == F.col("of")).select(F.xxhash64("g", "x.kmer").alias("key"), "node", "n_kmers", "class_id")
+
+
+def word_classes(docs: DataFrame, key: str, text: str, tables: Scratch, k: int = K, least: float = SIMILARITY, bands: int = BANDS, taken: int = TAKEN) -> DataFrame:
+    """id, word_key, label of each row of docs: rows are of one class if their labels are equal."""
+    made = tables.stored(sketches(docs, key, text, k, bands, taken), "sketches")
+    nodes = made.groupBy("word_key").agg(F.min("text_key").alias("text_key"), F.first("n_kmers").alias("n_kmers"), F.first("keys").alias("keys"))
+    nodes = tables.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    pairs, groups = bucketed(nodes.select(F.explode("keys").alias("key"), "node", "n_kmers", F.col("node").alias("class_id")), least, tables)
+    met = pairs.select(F.col("a").alias("m")).union(pairs.select("b")).union(groups.select("node")).distinct()
+    kmers = tables.stored(kmers_of(nodes.join(met, F.col("node") == F.col("m")).select("node", "text_key"), docs, text, k), "kmers")
+    links = tables.stored(verified(pairs, kmers, least).select("a", "b"), "links")
     classes = components(links)
-    of_node = stored(groups.select("g", "node", "n_kmers").join(classes, F.col("node") == F.col("id"), "left").select("g", "node", "n_kmers", F.coalesce("class_id", "node").alias("class_id")), "classed")
-    main = stored(of_node.where("g = node").select(F.col("g").alias("of"), F.col("class_id").alias("main")), "mains")
-    more = stored(links_across(of_node.join(main, F.col("g") == F.col("of")).select("g", "node", "n_kmers", "class_id", "main"), texts, k, least), "links")
-    if not more.isEmpty():
-        classes = components(links.union(more).select("a", "b").distinct())
-    told = stored(nodes.join(classes, F.col("node") == F.col("id"), "left").select(F.col("word_key").alias("w"), "node", F.coalesce("class_id", "node").alias("class_id")), "told")
-    final = made.select("id", "word_key").join(told, F.col("word_key") == F.col("w"))
-    return final.select(F.col("id").alias(key), "class_id", (F.coalesce("id", "node") == F.col("class_id")).alias("kept"))
+    left = tables.stored(with_main(groups, classes, tables), "left")
+    if not left.isEmpty():
+        links = links.union(tables.stored(links_across(left.where(F.col("n") <= BLOCK), kmers, least, tables).select("a", "b"), "links"))
+        wide = left.where(F.col("n") > BLOCK)
+        if not wide.isEmpty():
+            pairs, groups = bucketed(prefixes(wide, kmers, least, tables), least, tables)
+            links = links.union(tables.stored(verified(pairs, kmers, least).select("a", "b"), "links"))
+            rest = with_main(groups, components(links), tables)
+            links = links.union(tables.stored(links_across(rest, kmers, least, tables).select("a", "b"), "links"))
+        classes = components(links.distinct())
+    told = nodes.join(classes, F.col("node") == F.col("id"), "left").select(F.col("word_key").alias("w"), F.coalesce("class_id", "node").alias("label"))
+    return tables.stored(made.select("id", "word_key").join(told, F.col("word_key") == F.col("w")).select("id", "word_key", "label"), "classes")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """key (a long), class_id, kept of each row; `how`: the parameters of word_classes.
+    Classes are the components of the links, a link being a verified similarity of `least` or more. Texts with the same words are
+    always of one class, also texts without words (null, empty), which are like no other. Of each class the row with the
+    smallest key stays; null keys come last, and of rows that share the smallest key, those with the smallest hash of their
+    words. Rows that repeat key and words are alike. class_id is the key of the row that stays; where it is null, or
+    stands for rows of other classes too, the class has a negative number of its own instead. An empty table gives no rows;
+    other columns aren't read."""
+    with Scratch(docs.sparkSession) as tables:
+        rows = word_classes(docs.select(docs[key].cast("long").alias("id"), docs[text].alias("t")), "id", "t", tables, **how)
+        order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("word_key"))
+        firsts = rows.groupBy("label").agg(F.min(order).alias("first"))
+        shared = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select(F.col("id").alias("of"))
+        number = F.when(F.col("first.id").isNotNull() & F.col("of").isNull(), F.col("first.id")).otherwise(-1 - F.col("label"))
+        named = firsts.join(shared, F.col("first.id") == F.col("of"), "left").select(F.col("label").alias("l"), "first", number.alias("class_id"))
+        named = tables.stored(named, "names")
+        tables.keep(rows, named)
+        return rows.join(named, F.col("label") == F.col("l")).select(F.col("id").alias(key), "class_id", (order == F.col("first")).alias("kept"))

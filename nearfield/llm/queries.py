@@ -7,11 +7,10 @@ import warnings
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.storage import bounded_batches
+from nearfield.llm.storage import Scratch, bounded_batches, stored
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -24,7 +23,8 @@ def vocabulary(name: str) -> str:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import packing
 
-    return packing.pack(packing.token_pieces(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+    with bounded_batches(spark):
+        return packing.pack(packing.token_pieces(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _docs(spark, sf_dir)
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    found = langid.predict(docs, langid.fit(docs, ~held_out), keep=["doc_id"])
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    with bounded_batches(spark):
+        found = langid.predict(docs, langid.fit(docs, ~held_out), keep=["doc_id"])
+        return stored(found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"), "languages")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import byte_bpe
 
-    return byte_bpe.encode_texts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+    with bounded_batches(spark):
+        return stored(byte_bpe.encode_texts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken")), "encoded")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +78,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import token_count
 
     docs = _docs(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = token_count.token_counts(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id", "n_bytes"])
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    with bounded_batches(spark):
+        counted = token_count.token_counts(docs, vocabulary("byte_bpe_50k.json"), keep=["doc_id", "n_bytes"])
+        return stored(counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit")), "counted")
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +92,18 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import token_blocks
 
-    segments = token_blocks.write_tokens(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
-    return token_blocks.read_documents(segments).withColumnRenamed("key", "doc_id")
+    with bounded_batches(spark), Scratch(spark) as tables:
+        segments = token_blocks.write_tokens(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+        read = tables.stored(token_blocks.read_documents(segments).withColumnRenamed("key", "doc_id"), "read-back")
+        tables.keep(read)
+        return read
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nearfield.llm import near_dedup
 
-    return near_dedup.near_duplicates(_docs(spark, sf_dir))
+    with bounded_batches(spark):
+        return near_dedup.near_duplicates(_docs(spark, sf_dir))
 
 
 def queries() -> dict:
