@@ -4,20 +4,23 @@ Lengths alone decide a packing, and there are at most `capacity` of them, so the
 never larger than that, however many documents there are. Sums of one, two and three lengths are looked up for the gap
 that the largest piece leaves; a combination that fills it exactly is used as often as its counts allow. Where none does,
 the largest length that fits goes in (best fit) and the rest of the gap is looked up again. Each use ends at least one
-length's count, so there are few patterns. Pieces are then numbered inside their length (split by a hash, so that no task
-sees a whole length) and an interval table sends the numbers of each length to sequence and offset.
+length's count, so there are at most `capacity` patterns. Pieces are then numbered inside their length (split by a hash, so
+that no task sees a whole length) and an interval table sends the numbers of each length to sequence and offset. It has a row
+for each distinct length of each pattern: lengths that differ and sum to 4,096 are at most 90, so whatever the corpus, the
+table that is broadcast has at most 4,096 x 90 rows.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.llm import units
 from nearfield.llm.ranks import grouped_ranks
@@ -93,17 +96,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
         out.append((pattern, n))
 
 
-def intervals(patterns: list[tuple[list[int], int]]) -> dict[int, list[tuple[int, int, int]]]:
-    """By length, in the order of the pieces' numbers: (first number, first sequence, offset in it)."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
+def intervals(patterns: list[tuple[list[int], int]]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By length, in the order of the pieces' numbers: (first number, first sequence, offset in it, pieces side by side in
+    each sequence)."""
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
     at: dict[int, int] = {}
     sequence = 0
     for pattern, n in patterns:
         offset = 0
-        for k in pattern:
-            out.setdefault(k, []).append((at.get(k, 0), sequence, offset))
-            at[k] = at.get(k, 0) + n
-            offset += k
+        for k in sorted(set(pattern), reverse=True):
+            times = pattern.count(k)
+            out.setdefault(k, []).append((at.get(k, 0), sequence, offset, times))
+            at[k] = at.get(k, 0) + n * times
+            offset += k * times
         sequence += n
     return out
 
@@ -133,26 +138,30 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (any columns, with an integer `length` of 1 to capacity, and doc_id and piece to name a row) with
-    sequence_id and offset. Ties are broken by doc_id and piece; repeated rows get places of their own; an empty table stays
-    empty. The histogram on the driver has at most `capacity` rows."""
+    sequence_id and offset; older columns of these two names are replaced, and no other name clashes. Ties are broken by
+    doc_id and piece; repeated rows get places of their own; an empty table stays empty. The histogram on the driver has at
+    most `capacity` rows."""
     spark = pieces.sparkSession
-    kept = stored(pieces, "pieces")
+    row, rank = f"row-{uuid.uuid4().hex}", f"rank-{uuid.uuid4().hex}"
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kept = stored(pieces.select(*[F.col(f"`{c}`") for c in names]).withColumn(row, F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = intervals(plan(counts, capacity))
-    numbered = grouped_ranks(kept, ["length"], ["doc_id", "piece"], "_rank")
-    table = spark.sparkContext.broadcast({k: ([x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for k, v in places.items()})  # a few rows a length
+    numbered = grouped_ranks(kept, ["length"], ["doc_id", "piece", row], rank)
+    table = spark.sparkContext.broadcast({k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in places.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = table.value
         for b in batches:
-            seq, off = [], []
-            for length, rank in zip(b.column("length").to_pylist(), b.column("_rank").to_pylist()):
-                first, sequence, offset = by[length]
-                k = bisect_right(first, rank) - 1
-                seq.append(sequence[k] + rank - first[k])
-                off.append(offset[k])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(seq, pa.int64()), pa.array(off, pa.int64())], names=[*names, "sequence_id", "offset"])
-
-    names = kept.columns
-    schema = kept.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    return numbered.select(*names, "_rank").mapInArrow(place, schema)
+            lengths, ranks = (b.column(c).to_numpy().astype(np.int64) for c in ("length", rank))
+            seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                mine = np.flatnonzero(lengths == length)
+                first, sequence, offset, times = by[length]
+                k = np.searchsorted(first, ranks[mine], "right") - 1
+                nth = ranks[mine] - first[k]
+                seq[mine], off[mine] = sequence[k] + nth // times[k], offset[k] + nth % times[k] * length
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+
+    schema = T.StructType([*[kept.schema[c] for c in names], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return numbered.select(*[F.col(f"`{c}`") for c in names], rank).mapInArrow(place, schema)
