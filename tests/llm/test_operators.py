@@ -68,17 +68,23 @@ def test_units_are_the_library_on_every_character():
     path = P.path("byte_bpe_50k.tiktoken")
     enc, tree = units.byte_encoding(path), byte_bpe.TreeBPE(path, leaf=6)
     assert [t for t in texts if tree.encode(t) != enc.encode_ordinary(t)] == []
-    lib = units.library(P.path("byte_bpe_50k.json"))
-    starts = lambda part: [a for a, _ in lib.encode(part, add_special_tokens=False).offsets]
+    lib, starts = units.library(P.path("byte_bpe_50k.json")), units.UnitEncoder(P.path("byte_bpe_50k.json")).starts
     assert [t for t in texts if token_count.spliced_count(t * 3, starts, 24, 12) != len(lib.encode(t * 3, add_special_tokens=False).ids)] == []
 
 
 def test_spliced_counts():
-    lib = units.library(P.path("byte_bpe_50k.json"))
-    starts = lambda part: [a for a, _ in lib.encode(part, add_special_tokens=False).offsets]
-    for t in odd_texts()[:-3]:
+    enc = units.UnitEncoder(P.path("byte_bpe_50k.json"))
+
+    def single(part):
+        at = np.array([a for a, _ in enc.library.encode(part, add_special_tokens=False).offsets], np.int64)
+        return at, np.ones(len(at), np.int64)
+
+    r = random.Random(2)
+    plain = ["".join(r.choice(["word", " ", "  ", "'s", "12", ".", "\n", "é", "...", "don't"]) for _ in range(80)) for _ in range(200)]
+    for t in [*odd_texts()[:-3], *plain]:
         for chunk, overlap in ((40, 20), (97, 30)):
-            assert token_count.spliced_count(t or "", starts, chunk, overlap) == len(lib.encode(t or "", add_special_tokens=False).ids)
+            for encode in (single, enc.starts):
+                assert token_count.spliced_count(t or "", encode, chunk, overlap) == len(enc.library.encode(t or "", add_special_tokens=False).ids)
 
 
 def test_token_counts(odd, empty):
@@ -151,6 +157,17 @@ def test_packing(docs, odd, empty):
     assert packing.pack(packing.token_pieces(empty, P.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_packing_with_clashing_names_and_many_short_pieces(spark):
+    rows = [(k % 7, 0, 1 + (k % 50 == 0) * 2, k, k, k) for k in range(9000)]  # far more pieces of one token than a sequence holds
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, _rank long, sequence_id long, offset long")
+    out = packing.pack(df, 64)
+    assert out.columns == ["doc_id", "piece", "length", "_rank", "sequence_id", "offset"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["_rank"]) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert check_packing(got, 64) == -(-sum(r[2] for r in rows) // 64)
+    assert all(len(v) <= 3 for v in packing.intervals([([1] * 4096, 5), ([4096], 2)]).values())
+
+
 def test_packing_plan_is_exact_where_it_can_be():
     assert sum(n for _, n in packing.plan({3000: 4, 1096: 4, 2000: 2, 96: 1, 4096: 5}, 4096)) == 10
     r = np.random.default_rng(3)
@@ -536,8 +553,9 @@ def test_near_dedup(spark, docs, odd, empty, monkeypatch):
         rows.append((10_000 + k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for limit in (32, 3):
+    for limit, block in ((32, 1024), (3, 1024), (3, 4)):  # one block a group, and groups split by prefixes
         monkeypatch.setattr(near_dedup, "ALL_PAIRS", limit)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         got = near_dedup.near_duplicates(df).collect()
         assert {x["doc_id"]: x["class_id"] for x in got} == want
         assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
@@ -545,6 +563,47 @@ def test_near_dedup(spark, docs, odd, empty, monkeypatch):
     assert near_dedup.near_duplicates(odd).count() == odd.count()
 
 
+def test_near_dedup_names_texts_not_ids(spark):
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 400)}" for _ in range(120)]
+    edits = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in (10, 60, 100)]
+    a, b = (" ".join(f"{x}{r.randint(0, 400)}" for _ in range(50)) for x in "ab")
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(((x["doc_id"], x["class_id"], x["kept"]) for x in near_dedup.near_duplicates(df).collect()), key=repr)
+
+    assert run([(None, edits[0]), (None, edits[1]), (7, edits[2])]) == [(7, 7, True), (None, 7, False), (None, 7, False)]
+    assert run([(1, edits[0]), (2, edits[1]), (7, edits[2])]) == [(1, 1, True), (2, 1, False), (7, 1, False)]
+    got = run([(1, a), (1, b), (9, b)])  # id 1 stands for two classes, so neither is named by it
+    assert len({c for _, c, _ in got}) == 2 and all(c < 0 for _, c, _ in got) and [(i, k) for i, _, k in got] == [(1, True), (1, True), (9, False)]
+    assert run([(5, a), (5, a)]) == [(5, 5, True)] * 2
+    got = run([(None, edits[0]), (None, edits[1])])
+    assert sorted(k for _, _, k in got) == [False, True] and len({c for _, c, _ in got}) == 1 and got[0][1] < 0
+
+
+def test_prefixes_lose_no_link(spark):
+    """Pairs of similar texts share a k-mer of their prefixes, whatever else their group holds."""
+    from nearfield.llm.storage import Scratch
+
+    common = list(range(100))
+    nodes = []
+    for k in range(40):
+        own = [1000 * (1 + k // 2) + j for j in range(60)]
+        if k % 2:
+            own[:5] = [10**6 + 100 * k + j for j in range(5)]
+        nodes.append((k, np.array(common + own, np.uint64).tobytes()))
+    df = spark.createDataFrame(nodes, "node long, kmers binary")
+    groups = spark.createDataFrame([(0, k, 160, k) for k in range(40)], "g long, node long, n_kmers long, class_id long")
+    with Scratch(spark) as tables:
+        got = near_dedup.prefixes(groups, df, 0.8, tables).collect()
+    by = defaultdict(set)
+    for x in got:
+        by[x["key"]].add(x["node"])
+    assert all(any({k, k + 1} <= v for v in by.values()) for k in range(0, 40, 2))
+    assert all(len(v) == 2 for v in by.values())  # the shared passage makes no bucket
+
+
 def test_alignment_is_dynamic_programming():
     r = random.Random(11)
     for _ in range(300):

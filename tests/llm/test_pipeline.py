@@ -37,6 +37,26 @@ def test_stages(spark, sf, tmp_path):
     check_packing(got, 4096)
 
 
+def test_copies_go_by_row_and_not_by_id(spark, sf, tmp_path):
+    words = [f"w{k * 7919 % 997}" for k in range(200)]
+    near = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (20, 70)]
+    schema = "doc_id long, text string"
+
+    def run(stage, rows):
+        made = spark.createDataFrame(rows, schema)
+        made.write.mode("overwrite").parquet(f"{tmp_path}/t")
+        results = [sorted(map(tuple, stage(spark, df, sf).collect()), key=repr) for df in (made, spark.read.parquet(f"{tmp_path}/t"))]
+        assert results[0] == results[1]
+        return results[0]
+
+    exact, close = corpus_pipeline.exact_copies, corpus_pipeline.near_copies
+    assert run(exact, [(5, "alpha"), (5, "delta"), (9, "alpha")]) == [(5, "delta"), (9, "alpha")]
+    assert run(exact, [(5, "alpha"), (5, "alpha"), (None, "beta"), (None, "beta"), (None, "alpha")]) == [(5, "alpha"), (None, "beta")]
+    assert run(close, [(5, near[0]), (5, "one of a kind"), (9, near[1])]) == sorted([(5, near[0]), (5, "one of a kind")])
+    assert run(close, [(None, near[0]), (7, near[1]), (None, near[1])]) == [(7, near[1])]
+    assert len(run(close, [(None, near[0]), (None, near[1])])) == 1
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_odd_input(spark, sf, name, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long, length int"
