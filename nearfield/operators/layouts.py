@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators import order
+
 
 def cell_offsets(rows: DataFrame, cell: list[str]) -> DataFrame:
     """First place and size of each cell when rows are sorted by cell and id. Only cells are numbered in one task."""
@@ -14,9 +16,8 @@ def cell_offsets(rows: DataFrame, cell: list[str]) -> DataFrame:
 
 
 def layout(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """Place of each row in that order: its cell's offset and its rank in the cell."""
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("id")) - 1
-    return rows.withColumn("r", rank).join(cell_offsets(rows, cell).drop("n"), cell).select("id", *cell, (F.col("first") + F.col("r")).alias("position"))
+    """Place of each row in that order: its cell's offset and its rank in the cell. Cells of any size are cut by id."""
+    return order.id_ranks(rows, cell, "id", "r").join(cell_offsets(rows, cell).drop("n"), cell).select("id", *cell, (F.col("first") + F.col("r")).alias("position"))
 
 
 def dyadic(rows: DataFrame, bin_: str, widths: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
@@ -60,7 +61,7 @@ def dyadic_cover(first: int, end: int) -> list[tuple[int, int]]:
 
 def chunk_tags(tags: DataFrame, rows: int = 16) -> DataFrame:
     """For each tag's posting, cut into chunks of `rows`, the tags that occur among a chunk's rows."""
-    place = tags.select(F.col("tag").alias("owner"), "id", ((F.row_number().over(Window.partitionBy("tag").orderBy("id")) - 1) / rows).cast("long").alias("chunk"))
+    place = order.id_ranks(tags, ["tag"], "id", "place").select(F.col("tag").alias("owner"), "id", F.floor(F.col("place") / rows).cast("long").alias("chunk"))
     return place.join(tags, "id").select("owner", "chunk", "tag").distinct()
 
 

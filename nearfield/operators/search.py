@@ -67,14 +67,19 @@ def recall(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return joined.groupBy("qid").agg((F.count("hit") / k).alias("strict"), (F.count_if(F.col("dist") <= F.col("tau")) / k).alias("tied"))
 
 
-def integrity(results: DataFrame, support: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Counts of rows outside the support, repeated ids, own rows and missing rows of each query."""
+def integrity(results: DataFrame, support: DataFrame, queries: DataFrame, k: int, items: DataFrame, again: DataFrame) -> DataFrame:
+    """Counts of each query: ids that aren't items, rows outside the support, repeated ids, own rows, missing rows, and rows
+    whose distance differs in a second run."""
     ok = support.select("qid", "id", F.lit(1).alias("ok")).dropDuplicates(["qid", "id"])
-    per = results.join(ok, ["qid", "id"], "left").groupBy("qid").agg(
-        F.count_if(F.col("ok").isNull()).alias("predicate_fail"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("duplicate"),
-        F.count_if(F.col("id") == F.col("qid")).alias("forbidden_self"), F.count(F.lit(1)).alias("n"))
+    known = items.select("id", F.lit(1).alias("known"))
+    second = again.select("qid", "rank", "id", F.col("dist").alias("dist2"))
+    full = results.join(known, "id", "left").join(ok, ["qid", "id"], "left").join(second, ["qid", "rank", "id"], "left")
+    per = full.groupBy("qid").agg(
+        F.count_if(F.col("known").isNull()).alias("invalid"), F.count_if(F.col("known").isNotNull() & F.col("ok").isNull()).alias("predicate_fail"),
+        (F.count(F.lit(1)) - F.count_distinct("id")).alias("duplicate"), F.count_if(F.col("id") == F.col("qid")).alias("forbidden_self"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("dist") != F.col("dist2")).alias("nondeterministic"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return queries.select("qid").join(per, "qid", "left").select("qid", zero("predicate_fail"), zero("duplicate"), zero("forbidden_self"), F.greatest(F.lit(0), k - F.coalesce("n", F.lit(0))).cast("long").alias("underfull"))
+    return queries.select("qid").join(per, "qid", "left").select("qid", *[zero(c) for c in ("invalid", "predicate_fail", "duplicate", "forbidden_self")], F.greatest(F.lit(0), k - F.coalesce("n", F.lit(0))).cast("long").alias("underfull"), zero("nondeterministic"))
 
 
 def prefix_top(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int, dims: int, distance=l2) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators import order
+
 
 def geometric_mean(df: DataFrame, ratio: str) -> DataFrame:
     return df.agg(F.exp(F.avg(F.ln(ratio))).alias("geo_mean"))
@@ -29,17 +31,18 @@ def least_squares(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, tie: str, by: list[str]) -> DataFrame:
-    """Correlation of places in sorted order; ties go by `tie` and aren't averaged."""
-    place = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).cast("double")
-    return df.select(*by, place(x).alias("x"), place(y).alias("y")).groupBy(*by).agg(F.round(F.corr("x", "y"), 9).alias("rho"))
+    """Correlation of places in sorted order; ties go by `tie`, a unique number, and aren't averaged."""
+    placed = order.ordered_ranks(order.ordered_ranks(df.select(*by, x, y, tie), by, x, tie, "at_x"), by, y, tie, "at_y")
+    return placed.groupBy(*by).agg(F.round(F.corr(F.col("at_x").cast("double"), F.col("at_y").cast("double")), 9).alias("rho"))
 
 
 def percentiles(df: DataFrame, value: str, by: str) -> DataFrame:
-    """p50 and p95 at the floor of p(n - 1), q95 at the ceiling of pn, all counted from the smallest."""
-    w = Window.partitionBy(by)
-    r = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda place, name: F.max(F.when(F.col("r") == place, F.col(value))).alias(name)
-    return r.groupBy(by).agg(at(F.floor(0.5 * (F.col("n") - 1)), "p50"), at(F.floor(0.95 * (F.col("n") - 1)), "p95"), at(F.ceil(F.lit(0.95) * F.col("n")) - 1, "q95"))
+    """p50 and p95 at the floor of p(n - 1), q95 at the ceiling of pn, all counted from the smallest. From the counts of
+    distinct values, so no task sorts a group."""
+    v = order.value_offsets(df, [by], value)
+    total = F.col("total")
+    at = lambda place, name: F.max(F.when((F.col("first") <= place) & (place < F.col("first") + F.col("n")), F.col(value))).alias(name)
+    return v.groupBy(by).agg(at(F.floor(0.5 * (total - 1)), "p50"), at(F.floor(0.95 * (total - 1)), "p95"), at(F.ceil(F.lit(0.95) * total) - 1, "q95"))
 
 
 def variance_order(df: DataFrame, vector: str) -> DataFrame:
