@@ -460,3 +460,6 @@ def graph_topk(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM e) SELECT shard, src, dst FROM r WHERE r <= 16""")
 def knn_graph(spark, d):
     return graph.knn_graph(load(spark, d).items, "label", 16).select("shard", "src", "dst")
+
+
+from nearfield import catalog_layouts  # noqa: E402, F401  registers its queries

@@ -40,6 +40,40 @@ def within(v: Column, lo: Column, hi: Column, bounds: str = "[)") -> Column:
     return v.isNotNull() & ~F.isnan(v) & (v >= lo) & upper
 
 
+def bins_of(v: Column, edges: list[float]) -> Column:
+    """The bin of v between rising edges, the first and last of which are infinite: how many inner edges are at most v. -1 for
+    null and NaN."""
+    return F.when(v.isNull() | F.isnan(v), F.lit(-1)).otherwise(sum((F.when(v >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))).cast("int")
+
+
+def cross_label(token: Column, offset: Column, bin_: Column, bins: int, tokens: int) -> Column:
+    """A number for each pair of a token and one of all attributes' bins, after the plain tokens."""
+    return (F.lit(tokens) + token * bins + offset + bin_).cast("long")
+
+
+#: Fixed values of the 64-bit mixer.
+MIX_ADD, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mix64_mod(value: str, modulus: int) -> Column:
+    """The mixed 64 bits of a whole number, as an unsigned number modulo `modulus`. In Arrow batches, as Spark's own
+    products of longs don't wrap around."""
+    import pandas as pd
+
+    mixed = F.pandas_udf(lambda v: pd.Series((mix64(v.to_numpy()) % modulus).astype("int64")), "long")
+    return mixed(F.col(value).cast("long"))
+
+
+def mix64(v):
+    """Of an array of whole numbers, as unsigned 64-bit numbers."""
+    import numpy as np
+
+    x = np.asarray(v).astype(np.uint64) + np.uint64(MIX_ADD)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
+    return x ^ (x >> np.uint64(31))
+
+
 def permuted(v: Column, order: Column) -> Column:
     return F.transform(order, lambda i: F.get(v, i))
 

@@ -59,6 +59,37 @@ def dyadic_cover(first: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def slices(wanted: DataFrame, cells: DataFrame) -> DataFrame:
+    """wanted: qid, qa, qb, bin (one row a bin). Stretches (qid, kind, first, n) of a layout by (bin, a, b), from its offsets:
+    the whole range of bins, a label's part of each bin, and a cell of each bin."""
+    met = wanted.join(cells, "bin")
+    stretch = lambda df, kind: df.agg(F.min("first").alias("first"), F.sum("n").alias("n")).select("qid", F.lit(kind).alias("kind"), "first", "n")
+    label = met.where("a = qa")
+    return stretch(met.groupBy("qid"), "range").union(stretch(label.groupBy("qid", "bin"), "a")).union(stretch(label.where("b = qb").groupBy("qid", "bin"), "cell"))
+
+
+def admitted(tags: DataFrame, items: DataFrame, low: float, high: float, most: int) -> DataFrame:
+    """tag, n, pct: the tags with low <= 100 n / N < high, the `most` largest, ties to the smaller tag."""
+    total = items.agg(F.count(F.lit(1))).scalar()
+    sizes = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", 100.0 * F.col("n") / total)
+    return sizes.where((F.col("pct") >= low) & (F.col("pct") < high)).orderBy(F.desc("n"), "tag").limit(most)
+
+
+def degree(n: Column) -> Column:
+    """32 from 400,000 rows on, 24 from 100,000 on, else 16."""
+    return F.when(n >= 400_000, 32).when(n >= 100_000, 24).otherwise(16)
+
+
+def directory(keys: DataFrame) -> DataFrame:
+    """key, rank: of objects that are there how many come before; key is a unique number."""
+    return order.id_ranks(keys.withColumn("_all", F.lit(0)), ["_all"], "key", "rank").select("key", "rank")
+
+
+def group_tags(members: DataFrame, group: list[str], tags: DataFrame) -> DataFrame:
+    """The tags that occur among a group's members."""
+    return members.join(tags.select("id", F.col("tag").alias("other")), "id").select(*group, "other").distinct()
+
+
 def chunk_tags(tags: DataFrame, rows: int = 16) -> DataFrame:
     """For each tag's posting, cut into chunks of `rows`, the tags that occur among a chunk's rows."""
     place = order.id_ranks(tags, ["tag"], "id", "place").select(F.col("tag").alias("owner"), "id", F.floor(F.col("place") / rows).cast("long").alias("chunk"))

@@ -52,6 +52,26 @@ def first(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def scored(support: DataFrame, items: DataFrame, query_vectors: DataFrame, distance=l2) -> DataFrame:
+    """support with dist: the distances of all its rows."""
+    return support.join(items.select("id", "vec"), "id").join(query_vectors.select("qid", "qvec"), "qid").select(*support.columns, distance("vec", "qvec").alias("dist"))
+
+
+def merged(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int, part: str = "key") -> DataFrame:
+    """top() of a support in parts: each part's first k, and of these the first k of all. A row that several parts hold is
+    counted once."""
+    own = Window.partitionBy("qid", part).orderBy("dist", "id")
+    local = scored(support, items, query_vectors).withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)
+    return first(local.select("qid", "id", "dist").dropDuplicates(["qid", "id"]), k)
+
+
 def cutoff_ties(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int, distance) -> DataFrame:
     """Whether the k-th and the next distance of a query are the same."""
     ranks = top(support, items, query_vectors, k + 1, distance)
