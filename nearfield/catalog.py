@@ -462,4 +462,4 @@ def knn_graph(spark, d):
     return graph.knn_graph(load(spark, d).items, "label", 16).select("shard", "src", "dst")
 
 
-from nearfield import catalog_layouts  # noqa: E402, F401  registers its queries
+from nearfield import catalog_access, catalog_layouts  # noqa: E402, F401  registers its queries

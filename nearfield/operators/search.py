@@ -110,3 +110,62 @@ def prefix_top(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k
     nearest = part.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("part", "id"))).where(F.col("r") <= k)
     bound = nearest.groupBy("qid").agg(F.max(distance("vec", "qvec")).alias("bound"))
     return first(part.join(bound, "qid").where(F.col("part") <= F.col("bound")).select("qid", "id", distance("vec", "qvec").alias("dist")), k)
+
+
+def cascade_top(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int, stages: list[int], distance=l2) -> DataFrame:
+    """prefix_top() in several stages: each adds the dimensions up to its own to the sums of the rows that are left, and
+    drops those whose sum exceeds the bound. The bound is the greatest full distance of the k rows nearest by the first stage."""
+    part = scored_vectors(support, items, query_vectors).withColumn("part", distance(F.slice("vec", 1, stages[0]), F.slice("qvec", 1, stages[0])))
+    nearest = part.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("part", "id"))).where(F.col("r") <= k)
+    bound = nearest.groupBy("qid").agg(F.max(distance("vec", "qvec")).alias("bound"))
+    left = part.join(bound, "qid").where(F.col("part") <= F.col("bound"))
+    for a, z in zip(stages, stages[1:]):
+        left = left.withColumn("part", F.col("part") + distance(F.slice("vec", a + 1, z - a), F.slice("qvec", a + 1, z - a))).where(F.col("part") <= F.col("bound"))
+    return first(left.select("qid", "id", distance("vec", "qvec").alias("dist")), k)
+
+
+def scored_vectors(support: DataFrame, items: DataFrame, query_vectors: DataFrame) -> DataFrame:
+    return support.join(items.select("id", "vec"), "id").join(query_vectors.select("qid", "qvec"), "qid")
+
+
+def seeded_prefix_top(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int, dims: int, seeds: int, distance=l2) -> DataFrame:
+    """The first `seeds` rows of each support by id give the bound: the k-th of their full distances, or none where they are
+    fewer. Of the rest, rows whose first `dims` dimensions exceed it aren't scored in full."""
+    pairs = scored_vectors(support, items, query_vectors)
+    chosen = support.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where(F.col("r") <= seeds).select("qid", "id")
+    known = first(scored(chosen, items, query_vectors, distance), k)
+    bound = known.where(F.col("rank") == k).select("qid", F.col("dist").alias("bound"))
+    able = pairs.join(bound, "qid", "left").where(F.col("bound").isNull() | (distance(F.slice("vec", 1, dims), F.slice("qvec", 1, dims)) <= F.col("bound")))
+    return first(able.select("qid", "id", distance("vec", "qvec").alias("dist")), k)
+
+
+def edge_ratio(ranked: DataFrame, k: int) -> DataFrame:
+    """qid, ratio of the distances of rank k + 1 and rank k; null where there are fewer."""
+    at = lambda r: F.max(F.when(F.col("rank") == r, F.col("dist")))
+    return ranked.groupBy("qid").agg((at(k + 1) / at(k)).alias("ratio"))
+
+
+#: Ids of a bitmap: what one value of Spark's bitmap functions holds.
+BITMAP = 32768
+
+
+def bitmaps(tags: DataFrame) -> DataFrame:
+    """tag, bucket, bits, high: for each tag and BITMAP ids in a row a bit each, and the highest place that is set."""
+    place = F.col("id") % BITMAP
+    return tags.groupBy("tag", F.floor(F.col("id") / BITMAP).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"), F.max(place).alias("high"))
+
+
+def bits_and(a: Column, b: Column) -> Column:
+    """The common bits of two bitmaps of 4,096 bytes, by words of 16 hexadecimal digits."""
+    word = lambda x, i: F.conv(F.substr(F.hex(x), i * 8 + F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    both = F.transform(F.sequence(F.lit(0), F.lit(BITMAP // 32 - 1)), lambda i: F.lpad(F.hex(word(a, i).bitwiseAND(word(b, i))), 8, "0"))
+    return F.unhex(F.array_join(both, ""))
+
+
+def bitmap_conjunction(queries: DataFrame, tags: DataFrame, a: str = "tag1", b: str = "tag2") -> DataFrame:
+    """conjunction() with the second posting as bitmaps: a row's place is looked up in the bitmap of its bucket."""
+    maps = bitmaps(tags).select(F.col("tag").alias(b), "bucket", "bits")
+    rows = equality(queries, tags, a).join(queries.select("qid", b), "qid").withColumn("bucket", F.floor(F.col("id") / BITMAP).cast("long"))
+    place = F.col("id") % BITMAP
+    byte = F.conv(F.hex(F.substr("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(maps, [b, "bucket"]).where(F.getbit(byte, (place % 8).cast("int")) == 1).select("qid", "id")

@@ -19,6 +19,19 @@ def negation_route(n_eff: Column, anchor: Column, estimate: Column, planner: str
     return F.when((anchor if planner == "mono" else estimate) <= threshold, "brute").otherwise("graph")
 
 
+def effort(tag: Column, n: Column, base: tuple[int, float], high: tuple[int, float], risk: tuple[int, float], least: int, high_tags: list[int], risk_tags: list[int]) -> list[Column]:
+    """beam, cut, high_effort, risk_effort of a tag's searches: risk tags first, then listed or large ones."""
+    is_high, is_risk = tag.isin(high_tags) | (n >= least), tag.isin(risk_tags)
+    pick = lambda k: F.when(is_risk, F.lit(risk[k])).when(is_high, F.lit(high[k])).otherwise(F.lit(base[k]))
+    return [pick(0).alias("beam"), pick(1).cast("double").alias("cut"), is_high.alias("high_effort"), is_risk.alias("risk_effort")]
+
+
+def strategy(n1: Column, n2: Column, bitmap_from: int = 65_536) -> Column:
+    """How two postings are intersected: by a bitmap of a large one, by a search of a much smaller one's ids, or merged."""
+    small, large = F.least(n1, n2), F.greatest(n1, n2)
+    return F.when(large > bitmap_from, "bitmap").when(large > 8 * small, "gallop").otherwise("merge")
+
+
 def target_points(n: Column, default: int) -> Column:
     return F.when(n < 50_000, n).when(n < 500_000, F.lit(default)).otherwise(F.least(F.lit(100_000), F.lit(2 * default)))
 
