@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +28,16 @@ OTHER = re.compile(r"[\W\d_]+")
 
 @functools.cache
 def numerals() -> re.Pattern:
-    """What OTHER leaves of characters that are no letters, such as fractions and circled digits."""
-    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not OTHER.match(c)) + "]+")
+    """What OTHER leaves of characters that may be no letters: fractions, circled digits and the like, and all beyond the basic
+    plane, so that the class is a table look-up."""
+    return re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if c.isalnum() and not c.isalpha() and not OTHER.match(c)) + "\U00010000-\U0010ffff]+")
 
 
 def normal(text: str) -> str:
     letters = OTHER.sub(" ", text.lower())
-    return f" {(letters if letters.isascii() else numerals().sub(' ', letters)).strip()} "
+    if not letters.isascii():
+        letters = numerals().sub(lambda m: "".join(c if c.isalpha() else " " for c in m[0]), letters)
+    return f" {letters.strip()} "
 
 
 def fit(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, all_rows: int = SAMPLE_ALL) -> dict[str, bytes]:
