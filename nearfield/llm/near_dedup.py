@@ -17,8 +17,9 @@ a larger bucket each node is compared with a center, the node that shares most p
 similar to it are of its class. The large buckets of a center are one group, and what is outside the center's class there must
 still be held against the group's other classes, without forming all pairs:
 
-- a group of up to BLOCK nodes is one block, where a matrix product counts the shared k-mers, which bounds the alignment;
-- a larger group is split by prefixes. Two texts of similarity s share at least one of the (1 - s) * n + 1 k-mers that are
+- a group of up to WIDE nodes is cut into blocks (at most 8 of members and 32 of outsiders), where a matrix product counts
+  the shared k-mers, which bounds the alignment;
+- a larger group, for which blocks would move every node ever more often, is split by prefixes first. Two texts of similarity s share at least one of the (1 - s) * n + 1 k-mers that are
   rarest among all such groups. So nodes of different classes that share none of those can't be linked, and those that share
   one meet in its bucket. These buckets go through the same steps: all pairs, or a center, and blocks for what is left.
 
@@ -43,7 +44,7 @@ from nearfield.llm import units
 from nearfield.llm.storage import Scratch
 
 WORD = re.compile(r"\w+")
-K, SIMILARITY, BANDS, TAKEN, ALL_PAIRS, BLOCK = 5, 0.8, 16, 3, 32, 1024
+K, SIMILARITY, BANDS, TAKEN, ALL_PAIRS, BLOCK, WIDE = 5, 0.8, 16, 3, 32, 1024, 8192
 KNOWN_WORDS = 150_000
 
 
@@ -333,8 +334,8 @@ def word_classes(docs: DataFrame, key: str, text: str, tables: Scratch, k: int =
     classes = components(links)
     left = tables.stored(with_main(groups, classes, tables), "left")
     if not left.isEmpty():
-        links = links.union(tables.stored(links_across(left.where(F.col("n") <= BLOCK), kmers, least, tables).select("a", "b"), "links"))
-        wide = left.where(F.col("n") > BLOCK)
+        links = links.union(tables.stored(links_across(left.where(F.col("n") <= WIDE), kmers, least, tables).select("a", "b"), "links"))
+        wide = left.where(F.col("n") > WIDE)
         if not wide.isEmpty():
             pairs, groups = bucketed(prefixes(wide, kmers, least, tables), least, tables)
             links = links.union(tables.stored(verified(pairs, kmers, least).select("a", "b"), "links"))

@@ -556,6 +556,7 @@ def test_near_dedup(spark, docs, odd, empty, monkeypatch):
     for limit, block in ((32, 1024), (3, 1024), (3, 4)):  # one block a group, and groups split by prefixes
         monkeypatch.setattr(near_dedup, "ALL_PAIRS", limit)
         monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "WIDE", block)
         got = near_dedup.near_duplicates(df).collect()
         assert {x["doc_id"]: x["class_id"] for x in got} == want
         assert all(x["kept"] == (x["doc_id"] == x["class_id"]) for x in got)
