@@ -266,9 +266,12 @@ def dyadic_fragments(spark, d):
     return layouts.dyadic(load(spark, d).rows, "bin")
 
 
-@query("WITH w AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128]::bigint[]) AS width) SELECT width, unnest(range(0, 200 - width + 1, width)) AS first FROM w")
+@query(prelude() + ", w AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128]::bigint[]) AS width), h AS (SELECT width, unnest(range(0, 200 - width + 1, width)) AS first FROM w), c AS (SELECT width, block // width * width AS first, count(*) AS n FROM rws, w GROUP BY ALL) SELECT h.width, h.first, coalesce(c.n, 0)::bigint AS n FROM h LEFT JOIN c USING (width, first)")
 def hierarchy_nodes(spark, d):
-    return layouts.hierarchy(spark.range(1))
+    """All aligned segments of the 200 blocks and how many rows each holds."""
+    t = load(spark, d)
+    held = layouts.dyadic(t.rows, "block", tuple(1 << k for k in range(8))).select(F.col("width").cast("long").alias("width"), F.col("start").alias("first"), "n")
+    return layouts.hierarchy(spark.range(1)).join(held, ["width", "first"], "left").select("width", "first", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 MET = ", o AS (SELECT qid, a1, z1, unnest(range(a1 // 25, z1 // 25 + 1)) AS block FROM qs), m AS (SELECT qid, block, least(z1, block * 25 + 24) - greatest(a1, block * 25) + 1 AS n FROM o)"
@@ -327,27 +330,12 @@ def delta16_eligibility(spark, d):
     return g.select("tag", ((F.coalesce("most", F.lit(0)) <= 65535) & (F.coalesce("least", F.lit(1)) > 0)).alias("eligible"), (4 + 2 * (F.col("n") - 1)).cast("long").alias("bytes"))
 
 
-@query("WITH n AS (SELECT unnest(range(0, 40)) AS i) SELECT a.i AS a, b.i AS b, row_number() OVER (ORDER BY a.i, b.i) - 1 AS position FROM n a JOIN n b ON a.i < b.i")
+@query(prelude() + " SELECT DISTINCT a.tag AS a, b.tag AS b, (a.tag * (800 - a.tag - 1) // 2 + b.tag - a.tag - 1)::bigint AS position FROM tags a JOIN tags b USING (id) WHERE a.tag < b.tag")
 def arena_position(spark, d):
-    a = spark.range(40).select(F.col("id").alias("a"))
-    return a.select("a", F.explode(F.sequence(F.col("a") + 1, F.lit(40).cast("long"))).alias("b")).where("b < 40").select("a", "b", pair_position(F.col("a"), F.col("b"), 40).alias("position"))
-
-
-#: A small instance: costs by unit, weighted savings by query.
-UNITS = {"u1": 3, "u2": 5, "u3": 4, "u4": 2}
-SAVINGS = {"q1": {"u1": 14.0, "u2": 20.0}, "q2": {"u2": 8.0, "u3": 3.0}, "q3": {"u3": 11.0, "u4": 6.0}}
-
-
-@query("""WITH m AS (SELECT unnest(range(0, 16)) AS mask), b AS (SELECT mask, mask & 1 AS u1, (mask >> 1) & 1 AS u2, (mask >> 2) & 1 AS u3, (mask >> 3) & 1 AS u4 FROM m)
-SELECT mask, (3 * u1 + 5 * u2 + 4 * u3 + 2 * u4)::bigint AS cost, (greatest(14 * u1, 20 * u2) + greatest(8 * u2, 3 * u3) + greatest(11 * u3, 6 * u4))::double AS value FROM b WHERE 3 * u1 + 5 * u2 + 4 * u3 + 2 * u4 <= 9""")
-def advisor_bruteforce(spark, d):
-    return plans.subset_values(spark, UNITS, SAVINGS, 9)
-
-
-@query("SELECT 39.0::double AS objective, 'u2,u3' AS chosen")
-def advisor_exact(spark, d):
-    value, chosen, _ = plans.advise(UNITS, SAVINGS, 9)
-    return spark.createDataFrame([(float(value), ",".join(chosen))], "objective double, chosen string")
+    """Places of the pairs of tags that occur in the triangle of 400 tokens."""
+    tags = load(spark, d).tags
+    pairs = tags.select("id", F.col("tag").alias("a")).join(tags.select("id", F.col("tag").alias("b")), "id").where("a < b").select("a", "b").distinct()
+    return pairs.select("a", "b", pair_position(F.col("a"), F.col("b"), 400).alias("position"))
 
 
 RATIO = "SELECT nation, sum(v) FILTER (o_orderstatus = 'F') / sum(v) FILTER (o_orderstatus = 'O') AS ratio FROM (SELECT c.c_nationkey % 8 AS nation, o.o_orderstatus, o.o_orderkey::double AS v FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey) GROUP BY nation"
@@ -462,4 +450,4 @@ def knn_graph(spark, d):
     return graph.knn_graph(load(spark, d).items, "label", 16).select("shard", "src", "dst")
 
 
-from nearfield import catalog_access, catalog_layouts  # noqa: E402, F401  registers its queries
+from nearfield import catalog_access, catalog_audit, catalog_layouts  # noqa: E402, F401  registers its queries

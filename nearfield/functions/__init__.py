@@ -68,12 +68,41 @@ def mix64(v):
     """Of an array of whole numbers, as unsigned 64-bit numbers."""
     import numpy as np
 
-    x = np.asarray(v).astype(np.uint64) + np.uint64(MIX_ADD)
+    x = np.asarray(v, dtype=object if isinstance(v, list) else None).astype(np.uint64) + np.uint64(MIX_ADD)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_ONE)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_TWO)
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_draws(value: str, seed: int) -> Column:
+    """The draws that a workload takes from the mixed number of value / 4 + seed."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(v):
+        r = mix64(v.to_numpy() // 4 + seed)
+        at = lambda shift, m: ((r >> np.uint64(shift)) % np.uint64(m)).astype("int64")
+        with np.errstate(over="ignore"):
+            by12 = ((r + (r >> np.uint64(11))) % np.uint64(12)).astype("int64")
+        return pd.DataFrame({"by12": by12, "by64": at(0, 64), "by24": at(0, 24), "high24": at(13, 24), "by3": at(8, 3), "low16": at(16, 16), "low15": at(16, 15), "low13": at(16, 13)})
+
+    names = ("by12", "by64", "by24", "high24", "by3", "low16", "low15", "low13")
+    return F.pandas_udf(draw, ", ".join(f"{n} long" for n in names))(F.col(value).cast("long"))
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
+def pair_unkey(key: Column) -> tuple[Column, Column]:
+    return F.shiftright(key, 32), key.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def arena_key(token: Column, attribute: Column, block: Column, tokens: int, attributes: int, blocks: int) -> Column:
+    """The place of a token, attribute and block after all pairs of tokens."""
+    return (F.lit(tokens * (tokens - 1) // 2) + (token * attributes + attribute) * blocks + block).cast("long")
+
+
 def permuted(v: Column, order: Column) -> Column:
     return F.transform(order, lambda i: F.get(v, i))
 
@@ -151,3 +180,64 @@ def fnv1a(ids: list[int]) -> int:
     for i in ids:
         h = ((h ^ i) * 1099511628211) & (2**64 - 1)
     return h
+
+
+def _elias_fano_sizes(n: int, universe: int) -> tuple[int, int, int]:
+    """(low width, words of the low part, words of the high part)."""
+    width = max(0, (universe // n).bit_length() - 1)
+    return width, -(-n * width // 64), -(-((universe >> width) + n) // 64)
+
+
+def elias_fano_bytes_of(ids: list[int], universe: int = UNIVERSE) -> bytes:
+    width, low, high = elias_fano_encode(ids, universe)
+    _, low_words, high_words = _elias_fano_sizes(len(ids), universe)
+    return struct.pack("<Q", len(ids)) + low.to_bytes(8 * low_words, "little") + high.to_bytes(8 * high_words, "little")
+
+
+def elias_fano_ids_of(data: bytes, universe: int = UNIVERSE) -> list[int]:
+    if len(data) < 8:
+        raise ValueError("too short")
+    (n,) = struct.unpack_from("<Q", data)
+    if not 0 < n <= universe:
+        raise ValueError("no such number of ids")
+    width, low_words, high_words = _elias_fano_sizes(n, universe)
+    if len(data) != 8 * (1 + low_words + high_words):
+        raise ValueError("the length isn't that of so many ids")
+    low = int.from_bytes(data[8 : 8 + 8 * low_words], "little")
+    high = int.from_bytes(data[8 + 8 * low_words :], "little")
+    if low >> (n * width) or high >> ((universe >> width) + n) or high.bit_count() != n:
+        raise ValueError("bits in the padding, or another number of ids")
+    ids = elias_fano_decode(width, low, high)
+    if ids[-1] >= universe or any(b <= a for a, b in zip(ids, ids[1:])):
+        raise ValueError("ids that don't ascend inside the universe")
+    return ids
+
+
+def draw(state: int, bound: int) -> tuple[int, int]:
+    """(state, unbiased draw under bound) of the mixer as a stream."""
+    if bound <= 0:
+        raise ValueError("a bound of 0")
+    low = (1 << 64) % bound
+    while True:
+        value = int(mix64([state])[0])
+        state = (state + MIX_ADD) % 2**64
+        if value >= low:
+            return state, value % bound
+
+
+def permutation(n: int, seed: int) -> list[int]:
+    """0 to n - 1 shuffled from the end by the stream's draws."""
+    out, state = list(range(n)), seed
+    for left in range(n, 1, -1):
+        state, k = draw(state, left)
+        out[left - 1], out[k] = out[k], out[left - 1]
+    return out
+
+
+def fingerprint(order: list[int]) -> int:
+    """The checksum of a permutation by bytes, four a number, from its own fixed offset."""
+    h = 1469598103934665603
+    for v in order:
+        for b in struct.pack("<I", v):
+            h = ((h ^ b) * 1099511628211) & (2**64 - 1)
+    return h

@@ -75,6 +75,15 @@ def admitted(tags: DataFrame, items: DataFrame, low: float, high: float, most: i
     return sizes.where((F.col("pct") >= low) & (F.col("pct") < high)).orderBy(F.desc("n"), "tag").limit(most)
 
 
+def charges(rows: DataFrame, dims: int) -> DataFrame:
+    """layout, vectors, offsets, maps, total in bytes: of the cube, of the pair-major order, and of packs by posting."""
+    n = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(f"n_{c}") for c in ("a", "b", "bin")])
+    size, pairs = F.col("rows"), F.col("n_a") * F.col("n_b")
+    kind = lambda name, offsets, maps: F.struct(F.lit(name).alias("layout"), (size * dims).alias("vectors"), offsets.cast("long").alias("offsets"), (size * maps).alias("maps"))
+    each = n.select(F.explode(F.array(kind("cube", 4 * (F.col("n_bin") * pairs + 1), 8), kind("pair_major", 4 * (pairs + 1), 8), kind("packs", F.lit(0), 4))).alias("x")).select("x.*")
+    return each.withColumn("total", F.col("vectors") + F.col("offsets") + F.col("maps"))
+
+
 def degree(n: Column) -> Column:
     """32 from 400,000 rows on, 24 from 100,000 on, else 16."""
     return F.when(n >= 400_000, 32).when(n >= 100_000, 24).otherwise(16)

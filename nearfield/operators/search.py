@@ -25,6 +25,12 @@ def ranged(queries: DataFrame, tags: DataFrame, attrs: DataFrame, attr: str, lo:
     return queries.join(tags, F.col(tag) == F.col("tag")).join(attrs, "id").where(test).select("qid", "id")
 
 
+def clause_tests(queries: DataFrame, tags: DataFrame, attrs: DataFrame, attr: str, tag: str, lo: str, hi: str, k: int) -> DataFrame:
+    """qid, id, k, ok: every row of the clause's posting and whether its attribute is in the clause's interval."""
+    met = queries.join(tags, F.col(tag) == F.col("tag")).join(attrs, "id")
+    return met.select("qid", "id", F.lit(k).alias("k"), F.coalesce(within(F.col(attr), F.col(lo), F.col(hi)), F.lit(False)).alias("ok"))
+
+
 def any_of(*branches: DataFrame) -> DataFrame:
     """Disjunction: a row that several branches admit is admitted once."""
     out = branches[0]

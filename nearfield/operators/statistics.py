@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators import order
@@ -49,3 +49,26 @@ def variance_order(df: DataFrame, vector: str) -> DataFrame:
     """Dimensions by falling variance, ties to the smaller."""
     v = df.select(F.posexplode(vector).alias("dim", "v")).groupBy("dim").agg(F.round(F.var_pop(F.col("v").cast("double")), 12).alias("variance"))
     return v.withColumn("place", F.row_number().over(Window.orderBy(F.desc("variance"), "dim")))
+
+
+def fraction_passes(hits: Column, denominator: Column, over: int, under: int) -> Column:
+    """hits / denominator >= over / under in whole numbers; nothing passes without a denominator."""
+    return (denominator > 0) & (hits * under >= denominator * over)
+
+
+def close(actual: Column, expected: Column, tolerance: float = 0.002) -> Column:
+    """Equal within the tolerance, relative to the larger or absolute."""
+    return F.abs(actual - expected) <= F.greatest(tolerance * F.greatest(F.abs(actual), F.abs(expected)), F.lit(tolerance))
+
+
+def predicted(df: DataFrame, cost: str, work: str, key: str, route: list[str], fitted_on: Column) -> DataFrame:
+    """route, n, ape, rho: a line fitted by route on some rows (the family of all rows where a route has under two of them),
+    held against the others: mean relative error, and the correlation of ranks. A prediction is 1 at least."""
+    train = df.where(fitted_on)
+    by = train.groupBy(*route).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.regr_slope(cost, work), F.lit(0.0)).alias("_s"), F.coalesce(F.regr_intercept(cost, work), F.avg(cost)).alias("_i"))
+    slope, level = (train.agg(F.coalesce(f(cost, work), F.lit(0.0))).scalar() for f in (F.regr_slope, F.regr_intercept))
+    enough = F.coalesce(F.col("_n"), F.lit(0)) >= 2
+    fitted = df.where(~fitted_on).join(by, route, "left").withColumn("guess", F.greatest(F.lit(1.0), F.when(enough, F.col("_s")).otherwise(slope) * F.col(work) + F.when(enough, F.col("_i")).otherwise(level)))
+    ranked = order.ordered_ranks(order.ordered_ranks(fitted.select(*route, cost, "guess", key), route, "guess", key, "at_x"), route, cost, key, "at_y")
+    ape = F.abs(F.col("guess") - F.col(cost)) / F.col(cost)
+    return ranked.groupBy(*route).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(ape), 6).alias("ape"), F.round(F.corr(F.col("at_x").cast("double"), F.col("at_y").cast("double")), 6).alias("rho"))
