@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,35 +61,63 @@ def range_cover(lo: int, hi: int, cost: dict[tuple[int, int], int], extra: int =
     return best[lo]
 
 
-def advise(units: dict[str, int], savings: dict[str, dict[str, float]], budget: int) -> tuple[float, list[str], float]:
-    """(objective, chosen units, gap): units within the budget whose best savings, summed over queries, are largest. Branch
-    and bound over units by saving per byte; the bound adds every open unit that fits alone. Exact, so the gap is 0; an
-    unused unit is never chosen. savings: query -> unit -> weighted saving."""
-    if budget < 0 or any(c <= 0 for c in units.values()) or any(u not in units for q in savings.values() for u in q):
-        raise ValueError("a negative budget, a cost that isn't positive or an unknown unit")
-    useful = {u: sum(max(0.0, q.get(u, 0.0)) for q in savings.values()) for u in units}
-    order = sorted((u for u in units if useful[u] > 0), key=lambda u: (-useful[u] / units[u], u))
-    best: tuple[float, list[str]] = (0.0, [])
-
-    def value(chosen: list[str]) -> float:
-        return sum(max((q.get(u, 0.0) for u in chosen), default=0.0) if chosen else 0.0 for q in savings.values())
-
-    def walk(k: int, chosen: list[str], left: int) -> None:
-        nonlocal best
-        now = value(chosen)
-        if now > best[0] + 1e-12:
-            best = (now, chosen)
-        open_ = [u for u in order[k:] if units[u] <= left]
-        if not open_ or value(chosen + open_) <= best[0] + 1e-12:
-            return
-        for i, u in enumerate(open_):
-            if value(chosen + open_[i:]) <= best[0] + 1e-12:
-                return
-            walk(order.index(u) + 1, [*chosen, u], left - units[u])
-
-    walk(0, [], budget)
-    used = [u for u in best[1] if any(q.get(u, 0.0) >= max(q.get(v, 0.0) for v in best[1]) > 0 for q in savings.values())]
-    return best[0], sorted(used), 0.0
+def advise(units: dict[str, int], savings: dict[str, dict[str, float]], budget: int, nodes: int = 100_000) -> tuple[float, list[str], float]:
+    """(objective, chosen units, gap): units within the budget whose best savings, summed over queries, are largest. savings:
+    query -> unit -> weighted saving; an unused unit is never chosen. Branch and bound, the largest bound first: what a set of
+    units adds is at most the sum of what each adds alone, so the chosen ones' value and the fractional knapsack of the
+    open ones' additions bounds a node, and so does the value with all open ones that fit. After `nodes` nodes the best found
+    is given with its gap, the share by which the largest open bound exceeds it; else the gap is 0."""
+    if budget < 0 or any(c <= 0 for c in units.values()) or any(u not in units for q in savings.values() for u in q) or any(v < 0 for q in savings.values() for v in q.values()):
+        raise ValueError("a negative budget or saving, a cost that isn't positive or an unknown unit")
+    of: dict[str, dict[str, float]] = {}
+    for q, edges in savings.items():
+        for u, v in edges.items():
+            if v > 0:
+                of.setdefault(u, {})[q] = v
+    order = sorted(of, key=lambda u: (-sum(of[u].values()) / units[u], u))
+
+    def adds(u: str, have: dict[str, float]) -> float:
+        return sum(v - have.get(q, 0.0) for q, v in of[u].items() if v > have.get(q, 0.0))
+
+    def bound(k: int, have: dict[str, float], left: int) -> float:
+        now, most, knapsack = sum(have.values()), dict(have), 0.0
+        gains = []
+        for u in order[k:]:
+            if units[u] <= left and (gain := adds(u, have)) > 0:
+                gains.append((gain / units[u], gain, units[u]))
+                for q, v in of[u].items():
+                    most[q] = max(most.get(q, 0.0), v)
+        room = left
+        for _, gain, cost in sorted(gains, reverse=True):
+            knapsack += gain * min(1.0, room / cost)
+            room -= min(room, cost)
+        return min(sum(most.values()), now + knapsack)
+
+    value, chosen = greedy(units, savings, budget)
+    best: tuple[float, list[str]] = (value, chosen)
+    heap: list[tuple[float, int, int, list[str], dict[str, float], int]] = [(-bound(0, {}, budget), 0, 0, [], {}, budget)]
+    made = 0
+    while heap and -heap[0][0] > best[0] * (1 + 1e-12) + 1e-12:
+        if made >= nodes:
+            break
+        _, _, k, picked, have, left = heapq.heappop(heap)
+        if sum(have.values()) > best[0]:
+            best = (sum(have.values()), picked)
+        while k < len(order) and (units[order[k]] > left or adds(order[k], have) <= 0):
+            k += 1
+        if k == len(order):
+            continue
+        u = order[k]
+        more = {**have, **{q: max(v, have.get(q, 0.0)) for q, v in of[u].items()}}
+        for p, h, room in (([*picked, u], more, left - units[u]), (picked, have, left)):
+            if sum(h.values()) > best[0]:
+                best = (sum(h.values()), p)
+            if (b := bound(k + 1, h, room)) > best[0]:
+                made += 1
+                heapq.heappush(heap, (-b, made, k + 1, p, h, room))
+    gap = max(0.0, -heap[0][0] / best[0] - 1) if heap and best[0] > 0 and made >= nodes else 0.0
+    used = [u for u in best[1] if any(v >= max(of[w].get(q, 0.0) for w in best[1]) for q, v in of.get(u, {}).items())]
+    return best[0], sorted(used), gap
 
 
 def greedy(units: dict[str, int], savings: dict[str, dict[str, float]], budget: int) -> tuple[float, list[str]]:

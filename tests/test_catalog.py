@@ -1,9 +1,11 @@
 """Every query of the catalog against its SQL in DuckDB."""
 
 import math
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.catalog import QUERIES, SQL
 from tests.conftest import SF
@@ -43,3 +45,37 @@ def test_plan_of_flagship(spark, sf, capsys):
     QUERIES["equality_topk"](spark, sf).explain("formatted")
     plan = capsys.readouterr().out
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_graph_of_large_shards(spark, sf):
+    """Shards beyond `most` are searched in cells, which find most neighbours; every row keeps its degree of them."""
+    from nearfield.fixtures import load
+    from nearfield.operators import graph
+
+    items = load(spark, sf.replace("0.001", "0.01")).items.withColumn("one", (F.col("id") % 2))
+    exact = {(r["src"], r["dst"]) for r in graph.knn_graph(items, "one", 8).collect()}
+    found = graph.knn_graph(items, "one", 8, most=200, near=2).collect()
+    assert len({r["src"] for r in found}) == items.count() and max(Counter(r["src"] for r in found).values()) == 8
+    assert len(exact & {(r["src"], r["dst"]) for r in found}) >= 0.6 * len(exact)
+
+
+def test_index_recall(spark):
+    """The registered probes find at least 0.9 of the true neighbours, and pruned graphs most of them."""
+    from nearfield.fixtures import load
+    from nearfield.operators import search
+
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        t = load(spark, sf)
+        true = {(r["qid"], r["id"]) for r in search.top(search.without_self(search.equality(t.queries, t.tags, "tag2")), t.items, t.queries, 10).collect()}
+        found = {(r["qid"], r["id"]) for r in QUERIES["ivf_topk"](spark, sf).collect()}
+        assert len(found & true) >= 0.9 * len(true)
+    true = {(r["qid"], r["id"]) for r in QUERIES["equality_topk"](spark, "/root/testdata/sf0.01").collect()}
+    assert len({(r["qid"], r["id"]) for r in QUERIES["local_graph_topk"](spark, "/root/testdata/sf0.01").collect()} & true) >= 0.9 * len(true)
+
+
+def test_hot_groups_are_cut(spark, sf, capsys):
+    """Ranks, gaps and percentiles have no window on a group alone: each is on a cut of it, or on the cuts' sums."""
+    for name in ("delta16_eligibility", "chunk_summary", "cube_layout", "spearman"):
+        QUERIES[name](spark, sf).explain("formatted")
+        plan = capsys.readouterr().out
+        assert "_cut" in plan and "CartesianProduct" not in plan
