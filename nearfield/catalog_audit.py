@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfield import plans
 from nearfield.fixtures import K, Tables, load, prelude, top_sql
 from nearfield.functions import arena_key, codecs, mixed_draws, pair_key, pair_unkey
-from nearfield.operators import fragments, layouts, search, statistics
+from nearfield.operators import fragments, layouts, order, search, statistics
 from nearfield.registry import QUERIES, SQL, query
 
 EQ = "SELECT q.qid, t.id FROM qs q JOIN tags t ON t.tag = q.tag1 WHERE t.id <> q.qid"
@@ -280,3 +280,35 @@ def advisor_exact(spark, d):
     value, _, gap = plans.advise(units, savings, budget)
     return spark.createDataFrame([(float(value), float(gap))], "objective double, gap double")
 
+
+
+@query(prelude() + """, c AS (SELECT qid, a1 // 25 + 1 AS first, z1 // 25 AS last_end FROM qs), w AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128]) AS width),
+n AS (SELECT qid, first, last_end, width, unnest(range(first // width * width, last_end, width)) AS node FROM c, w WHERE first < last_end)
+SELECT qid, width::bigint AS width, node::bigint AS node FROM n WHERE node >= first AND node + width <= last_end AND (width = 128 OR NOT (node // (2 * width) * 2 * width >= first AND node // (2 * width) * 2 * width + 2 * width <= last_end))""")
+def dyadic_covers(spark, d):
+    """The aligned segments that tile the inner blocks of each query's range, by the greedy walk from the left."""
+    t = load(spark, d)
+    walk = F.pandas_udf(lambda first, end: plans.covers(first, end), "array<struct<node: long, width: long>>")
+    c = t.queries.select("qid", walk((F.floor(F.col("a1") / 25) + 1).cast("long"), F.floor(F.col("z1") / 25).cast("long")).alias("cover"))
+    return c.select("qid", F.explode("cover").alias("x")).select("qid", F.col("x.width").alias("width"), F.col("x.node").alias("node"))
+
+
+@query(prelude().replace("WITH items", "WITH RECURSIVE items") + """, w AS (SELECT unnest([1, 2, 4, 8]) AS width), f AS (SELECT width, bin // width * width AS start, count(*) AS n FROM rws, w GROUP BY ALL),
+all_f AS (SELECT width, unnest(range(0, 16, width)) AS start FROM w), cost AS (SELECT a.width, a.start, 3500 + 16 * coalesce(n, 0) AS c FROM all_f a LEFT JOIN f USING (width, start)),
+q AS (SELECT DISTINCT qid % 13 AS lo, qid % 13 + 3 AS hi FROM qs), RECURSIVE_t
+SELECT lo, hi, min(c)::bigint AS cost FROM t WHERE pos = hi + 1 GROUP BY lo, hi""".replace("RECURSIVE_t", "t AS (SELECT lo, hi, lo AS pos, 0::bigint AS c FROM q UNION ALL SELECT t.lo, t.hi, t.pos + k.width, t.c + k.c + CASE WHEN t.pos > t.lo THEN 1500 ELSE 0 END FROM t JOIN cost k ON k.start = t.pos AND t.pos + k.width <= t.hi + 1)"))
+def range_covers(spark, d):
+    """The cheapest tiling of each range of bins by materialised ranges, as the planner's dynamic programme finds it."""
+    t = load(spark, d)
+    sizes = {(r["start"], r["width"]): r["n"] for r in layouts.dyadic(t.rows, "bin").collect()}  # at most 30 ranges
+    cost = {(s, w): 3500 + 16 * sizes.get((s, w), 0) for w in (1, 2, 4, 8) for s in range(0, 16, w)}
+    asked = t.queries.select((F.col("qid") % 13).alias("lo")).distinct().collect()  # at most 13
+    return spark.createDataFrame([(r["lo"], r["lo"] + 3, plans.range_cover(r["lo"], r["lo"] + 3, cost)[0]) for r in asked], "lo long, hi long, cost long")
+
+
+@query(prelude() + ", p AS (SELECT tag, id, CASE WHEN id % 100 = 7 THEN id - 90 ELSE id END AS written FROM tags), o AS (SELECT tag, id, written, lag(written) OVER (PARTITION BY tag ORDER BY id) AS before FROM p) SELECT tag, count(*) FILTER (before >= written) AS out_of_order, count(*) FILTER (written < 0) AS outside FROM o GROUP BY tag")
+def posting_order(spark, d):
+    """Neighbours of a posting that don't ascend, and ids outside the universe; some are planted."""
+    t = load(spark, d)
+    written = t.tags.withColumn("written", F.when(F.col("id") % 100 == 7, F.col("id") - 90).otherwise(F.col("id")))
+    return order.disorder(written, ["tag"], "id", "written")

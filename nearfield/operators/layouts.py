@@ -47,11 +47,11 @@ def block_support(queries: DataFrame, rows: DataFrame, lo: str, hi: str, width:
     return met.join(rows, "block").where(~F.col("is_boundary") | F.col("attr").between(F.col(lo), F.col(hi))).select("qid", "id")
 
 
-def dyadic_cover(first: int, end: int) -> list[tuple[int, int]]:
+def dyadic_cover(first: int, end: int, widest: int = 1 << 30) -> list[tuple[int, int]]:
     """Aligned segments (first, width) of doubling widths that tile [first, end), the widest that fit from the left."""
     out = []
     while first < end:
-        width = first & -first or 1 << (end - first).bit_length()
+        width = min(widest, first & -first or 1 << (end - first).bit_length())
         while first + width > end:
             width >>= 1
         out.append((first, width))

@@ -67,3 +67,13 @@ def greatest_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
     parts = keyed.withColumn("_gap", inside).groupBy(*by, "_cut").agg(F.count(F.lit(1)).alias("_n"), F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.min(number).alias("_from"), F.max(number).alias("_to"))
     across = F.col("_from") - F.lag("_to").over(Window.partitionBy(*by).orderBy("_cut"))
     return parts.withColumn("_across", across).groupBy(*by).agg(F.sum("_n").alias("n"), F.least(F.min("_low"), F.min("_across")).alias("least"), F.greatest(F.max("_high"), F.max("_across")).alias("most"))
+
+
+def disorder(df: DataFrame, by: list[str], place: str, number: str) -> DataFrame:
+    """by, out_of_order, outside: rows whose number isn't over that of the row before, by place; and numbers under 0."""
+    keyed = df.withColumn("_cut", cut(df, place, steps(df)))
+    inside = Window.partitionBy(*by, "_cut").orderBy(place)
+    late = (F.col(number) <= F.lag(number).over(inside)).cast("int")
+    parts = keyed.withColumn("_late", late).groupBy(*by, "_cut").agg(F.coalesce(F.sum("_late"), F.lit(0)).alias("_l"), F.count_if(F.col(number) < 0).alias("_o"), F.min_by(number, place).alias("_from"), F.max_by(number, place).alias("_to"))
+    across = F.col("_from") <= F.lag("_to").over(Window.partitionBy(*by).orderBy("_cut"))
+    return parts.withColumn("_across", F.coalesce(across.cast("int"), F.lit(0))).groupBy(*by).agg(F.sum(F.col("_l") + F.col("_across")).cast("long").alias("out_of_order"), F.sum("_o").alias("outside"))

@@ -34,6 +34,15 @@ def strategy(n1: Column, n2: Column, bitmap_from: int = 65_536) -> Column:
     return F.when(large > bitmap_from, "bitmap").when(large > 8 * small, "gallop").otherwise("merge")
 
 
+def covers(first, end):
+    """A pandas series of lists of (node, width): each pair's aligned segments, the widest that fit from the left."""
+    import pandas as pd
+
+    from nearfield.operators.layouts import dyadic_cover
+
+    return pd.Series([[{"node": n, "width": w} for n, w in dyadic_cover(int(a), int(z), 128)] for a, z in zip(first, end)])
+
+
 def target_points(n: Column, default: int) -> Column:
     return F.when(n < 50_000, n).when(n < 500_000, F.lit(default)).otherwise(F.least(F.lit(100_000), F.lit(2 * default)))
 
