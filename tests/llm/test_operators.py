@@ -622,3 +622,99 @@ def test_alignment_is_dynamic_programming():
                 last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
         s = row[-1] / (len(a) + len(b) - row[-1])
         assert near_dedup.similarity(np.array(a, np.uint64), np.array(b, np.uint64)) == (s if s >= 0.8 else 0.0)
+
+
+def test_registered_queries(spark, docs, sf):
+    """The digest columns that the queries themselves add."""
+    from nearfield.llm import queries as q
+
+    known = q.queries()
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    lib = units.library(P.path("byte_bpe_50k.json"))
+    for r in known["op7_token_counts"](spark, sf).collect():
+        n = len(lib.encode(text[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text[r["doc_id"]].encode()), n, n > 1024)
+    enc = units.byte_encoding(P.path("byte_bpe_50k.tiktoken"))
+    for r in known["op5_byte_bpe"](spark, sf).collect():
+        ids = enc.encode_ordinary(text[r["doc_id"]])
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text[r["doc_id"]].encode()).hexdigest())
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+    found = known["op2_language_id"](spark, sf).collect()
+    assert len(found) == len(text) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    asked = [r for r in found if r["held_out"] and lang[r["doc_id"]]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in asked) >= 0.93 * len(asked)
+    at = 0
+    for r in sorted(known["op9_token_blocks"](spark, sf).collect(), key=lambda r: r["doc_id"]):
+        ids = np.array([*lib.encode(text[r["doc_id"]], add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    word = units.library(P.path("word_bpe_49k.json"))
+    rows = known["op1_best_fit_packing"](spark, sf).collect()
+    assert sum(r["length"] for r in rows) == sum(len(word.encode(t, add_special_tokens=False).ids) + 1 for t in text.values())
+    check_packing(rows, 4096)
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in known["op3_sharding"](spark, sf).collect()} == {(k, len(t.encode()) + 1, zlib.crc32(t.encode())) for k, t in text.items()}
+    assert Counter(r["doc_id"] for r in known["op10_near_dedup"](spark, sf).collect()) == Counter(list(text))
+    assert all(r["text"] == text[r["doc_id"]] for r in known["op4_pii"](spark, sf).collect() if not r["n_replaced"])
+    assert set(known) - {"op6_exact_dedup", "op8_exact_topk"} == {"op1_best_fit_packing", "op2_language_id", "op3_sharding", "op4_pii", "op5_byte_bpe", "op7_token_counts", "op9_token_blocks", "op10_near_dedup"}
+
+
+def test_settings_and_tables_of_a_call(spark, docs, tmp_path):
+    """Settings are as before, and of a call's tables only those stay that its result reads."""
+    import pathlib
+
+    from nearfield.llm.storage import BOUNDS, Scratch, bounded_batches, shared_folder
+
+    before = {name: spark.conf.get(name) for name in BOUNDS}
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    there = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    had = there()
+    with bounded_batches(spark):
+        assert all(int(spark.conf.get(name)) <= most for name, most in BOUNDS.items())
+        found = near_dedup.near_duplicates(docs)
+    assert {name: spark.conf.get(name) for name in BOUNDS} == before
+    assert len(there() - had) == 2 and found.count() == docs.count()
+    had = there()
+    rows = sharding.shard(docs)
+    assert len(there() - had) == 2 and rows.count() == docs.count()
+    had = there()
+    with pytest.raises(ZeroDivisionError), Scratch(spark) as tables:
+        tables.keep(tables.stored(docs.select("doc_id"), "ids"))
+        raise ZeroDivisionError
+    assert there() == had
+
+
+def best_cut(sizes, capacity, shards):
+    """The fewest groups that must be split when groups of these sizes fill shards of this capacity, by trying all ways."""
+    best = len(sizes)
+
+    def walk(k, room, split):
+        nonlocal best
+        if split >= best:
+            return
+        if k == len(sizes):
+            best = split
+            return
+        for s in sorted(set(room)):
+            if s >= sizes[k]:
+                left = list(room)
+                left[left.index(s)] -= sizes[k]
+                walk(k + 1, left, split)
+        walk(k + 1, room, split + 1)
+
+    walk(0, [capacity] * shards, 0)
+    return best
+
+
+def test_sharding_cuts_as_few_groups_as_can_be(spark):
+    """Small tables against the best of all ways to place whole groups."""
+    r = random.Random(3)
+    for shards, sizes, single in ((2, [5, 4, 3, 3, 2], 7), (3, [6, 5, 4, 4, 3, 2], 12), (4, [3] * 6, 10)):
+        texts = [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)] + [f"own {k}" for k in range(single)]
+        r.shuffle(texts)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        where = defaultdict(set)
+        for x in sharding.shard(df, shards=shards).collect():
+            where[texts[x["doc_id"]]].add(x["shard"])
+        cut = sum(len(v) > 1 for v in where.values())
+        assert cut <= best_cut(sorted(sizes, reverse=True), len(texts) // shards, shards) + sum(n * 4 > len(texts) // shards for n in sizes)
