@@ -4,22 +4,23 @@ Validated numbers and dates in a text are replaced by a keyed permutation of the
 SHA-256 round function over a pair of residues (left mod A, right mod B), so each value has one pseudonym and no two share
 one, in all documents. A pseudonym is a value that the format's validator accepts. The formats and their domains:
 
-- payment cards of 13 to 19 digits that pass the Luhn check, unbroken or in groups of 3 to 6: all digits but the last, which
-  becomes the new check digit;
+- payment cards of 13 to 19 digits of an issuer's range that pass the Luhn check, unbroken or in groups of 3 to 6: all digits
+  but the last, walked until the number is of an issuer's range again, and the new check digit;
 - telephone numbers with a country code, or in the form 3-3-4: the digits after the country code, alike with and without it;
 - social security numbers in the form 3-2-4 with a possible area, group and number: 898 areas x 99 groups x 9,999;
 - IPv4 addresses with octets up to 255 that aren't versions (`v1.2.3.4`): the 32 bits;
 - dates of the years from 400 on that the calendar has, year first, day first or (where that fails) month first: the day in its
   Gregorian cycle of 400 years (146,097 days = 189 x 773). Days up to the 12th and later ones are permuted apart, by walking
   the cycle of the permutation until the kind fits again, so a date has one pseudonym in all forms and each form is a
-  permutation, also `03/04/2021`, which is read day first. A walk has up to 128 steps; a value that needs more, for which the
-  chance is under 10^-27, stays;
+  permutation, also `03/04/2021`, which is read day first;
 - IBANs with right check digits: the digits and the capitals after them, and new check digits;
 - mail addresses: the letters, and the digits, of all but the last label;
 - hexadecimal secrets of 16 to 64 digits given to a token, key, secret or password, in any case: all digits in halves of up to 12;
 - other secrets given to a password (6 to 64 characters) or a token, secret or API key (8 to 64) that have letters and digits:
   small letters, capitals and digits apart; `ghp_`-like prefixes stay;
 - access keys of AKIA and 16 capitals or digits: the 16.
+
+A walk has up to 128 steps; a value that needs more, for which the chance is under 10^-27, stays.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|\+\d|AKIA|gh[pousr]_|github_pat_|sk-|xox[ab
 FOUND = "|".join((MAIL, SECRET, ACCESS, PREFIXED, ASSIGNED, IBAN, IP, DATE, SSN, PHONE, GROUPED, NUMBER))
 #: Country codes (fixed values) are 1, 7, the two-digit ones here, and else of three digits.
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Card issuers' ranges (fixed values) by the first digits.
+ISSUER = r"^(?:4|5[0-8]|3[04-9]|6|81|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))"
 #: Stand around what is found, before the word that a secret is given to, and before their own stand-ins in texts that have them.
 EDGE, TAG, ESCAPE = "\x01", "\x03", "\x02"
 STAND_INS = {ESCAPE: ESCAPE + "\ue002", EDGE: ESCAPE + "\ue001", TAG: ESCAPE + "\ue003"}
@@ -112,6 +115,13 @@ def symbols(s: Column, base: int, width: int, tweak: str, key: str) -> Column:
     return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), stretch), ""))
 
 
+def walked(start: Column, step: Callable[[Column], Column], ok: Callable[[Column], Column]) -> Column:
+    """The next value of the permutation's cycle that is ok, which makes step a permutation of the values that are."""
+    state = lambda x, done: F.struct(x.alias("v"), done.alias("done"))
+    turn = lambda s, _: F.when(s["done"], s).otherwise(let(step(s["v"]), lambda x: state(x, ok(x))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state(start, F.lit(False)), turn, lambda s: F.when(s["done"], s["v"]).otherwise(start))
+
+
 def refill(form: Column, new: Column, kind: str) -> Column:
     """form with its characters of the class `kind` replaced by those of new, in order."""
 
@@ -129,12 +139,13 @@ def luhn(d: Column, doubled: int) -> Column:
 
 
 def _number(m: Column, key: str) -> Column:
-    """Cards keep a right check digit, in whatever groups they are written; a number that fails the check stays."""
+    """Cards keep a right check digit, in whatever groups they are written; a number that fails the check, or that no issuer
+    gives out, stays."""
 
     def whole(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        card = F.length(d).between(13, 19) & (luhn(d, 0) % 10 == 0)
-        new = let(digits(body, "card", key), lambda b: F.concat(b, F.pmod(F.lit(10) - luhn(b, 1) % 10, F.lit(10)).cast("string")))
+        card = F.length(d).between(13, 19) & d.rlike(ISSUER) & (luhn(d, 0) % 10 == 0)
+        new = let(walked(body, lambda b: digits(b, "card", key), lambda b: b.rlike(ISSUER)), lambda b: F.concat(b, F.pmod(F.lit(10) - luhn(b, 1) % 10, F.lit(10)).cast("string")))
         return F.when(card, new).otherwise(d)
 
     return refill(m, let(F.regexp_replace(m, r"\D", ""), whole), "[0-9]")
@@ -182,18 +193,12 @@ def _date(m: Column, key: str) -> Column:
     early = lambda v: F.dayofmonth(F.date_add(start, v.cast("int"))) <= 12
 
     def step(v: Column) -> Column:
-        return let(feistel(F.floor(v / 773), F.pmod(v, F.lit(773)), F.lit(189).cast("bigint"), F.lit(773).cast("bigint"), F.lit("date"), key), lambda r: r["l"] * 773 + r["r"])
-
-    def walk(v: Column) -> Column:
-        """The next value of the permutation's cycle whose kind is that of v."""
-        state = lambda x, done: F.struct(x.cast("bigint").alias("v"), done.alias("done"))
-        turn = lambda s, _: F.when(s["done"], s).otherwise(let(step(s["v"]), lambda x: state(x, early(x) == early(v))))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state(v, F.lit(False)), turn, lambda s: F.when(s["done"], s["v"]).otherwise(v))
+        return let(feistel(F.floor(v / 773), F.pmod(v, F.lit(773)), F.lit(189).cast("bigint"), F.lit(773).cast("bigint"), F.lit("date"), key), lambda r: (r["l"] * 773 + r["r"]).cast("bigint"))
 
     def shift(s: Column) -> Column:
         at = F.datediff(s["d"], start).cast("bigint")
         inner = F.pmod(at, F.lit(146097))
-        new = let(walk(inner), lambda v: F.date_add(start, (at - inner + v).cast("int")))
+        new = let(let(inner, lambda i: walked(i, step, lambda v: early(v) == early(i))), lambda v: F.date_add(start, (at - inner + v).cast("int")))
         part = F.date_format
         return let(new, lambda d: F.when(s["f"] == "ymd", F.concat(part(d, "yyyy"), sep, part(d, "MM"), sep, part(d, "dd"))).when(s["f"] == "dmy", F.concat(part(d, "dd"), sep, part(d, "MM"), sep, part(d, "yyyy"))).otherwise(F.concat(part(d, "MM"), sep, part(d, "dd"), sep, part(d, "yyyy"))))
 
