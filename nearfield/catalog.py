@@ -29,13 +29,13 @@ BLOCKS = "SELECT q.qid, r.id FROM qs q JOIN rws r ON r.attr BETWEEN q.a{0} AND q
 @query(top_sql(EQ))
 def equality_topk(spark, d):
     t = load(spark, d)
-    return self_free(t, search.equality(t.queries, t.tags))
+    return search.packed_top(t.queries, t.tags, t.items, K)
 
 
 @query(top_sql(BOTH.format("tag2")))
 def conjunction_topk(spark, d):
     t = load(spark, d)
-    return self_free(t, search.conjunction(t.queries, t.tags))
+    return search.packed_top(t.queries, t.tags, t.items, K, "tag1", "tag2")
 
 
 @query(top_sql(BOTH.format("tag3")))

@@ -244,6 +244,13 @@ def local_graph_topk(spark, d):
     return graph.beam_search(t.queries.withColumn("shard", F.col("tag1")), shards, edges, K, 4 * K, 8)
 
 
+@query(prelude() + """, i2 AS (SELECT i.id, i.vec, r.block FROM items i JOIN rws r USING (id)), e AS (SELECT a.block, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), b.id) AS r FROM i2 a JOIN i2 b ON a.block = b.block AND a.id <> b.id) SELECT block AS shard, src, dst FROM e WHERE r <= 4""")
+def block_graphs(spark, d):
+    """A graph for each fixed block, of its frozen rows."""
+    t = load(spark, d)
+    return graph.knn_graph(t.items.join(t.rows.select("id", "block"), "id"), "block", 4).select("shard", "src", "dst")
+
+
 BAD_EDGES = ", e AS (SELECT i.label AS shard, i.id AS src, q.id AS dst, row_number() OVER (PARTITION BY i.id ORDER BY list_sum(list_transform(list_zip(i.vec, q.vec), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), q.id) AS r FROM items i JOIN items q ON q.label = i.label AND q.id <> i.id), g AS (SELECT shard, src, dst FROM e WHERE r <= 4 UNION ALL SELECT label, id, id FROM items WHERE id % 100 = 1 UNION ALL SELECT shard, src, dst FROM e WHERE r = 1 AND src % 100 = 2 UNION ALL SELECT label, id, -5 FROM items WHERE id % 100 = 3)"
 
 

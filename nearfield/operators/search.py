@@ -53,6 +53,24 @@ def top(support: DataFrame, items: DataFrame, query_vectors: DataFrame, k: int =
     return first(scored.select("qid", "id", distance("vec", "qvec").alias("dist")), k)
 
 
+def packed_top(queries: DataFrame, tags: DataFrame, items: DataFrame, k: int, tag: str = "tag1", also: str | None = None, blocks: int | None = None, distance=l2) -> DataFrame:
+    """top() of the rows with a query's tag (and another one, if `also` names its column), without the query's own row, for
+    batches whose pairs of query and row are too many to move. Each row is dealt with its vector and its tags into a block
+    of each of its tags; queries go to every block of their tag, and pairs arise only there. A block's first k are merged.
+    What moves is rows x tags and queries x blocks, whatever a hot tag's posting holds."""
+    n = blocks or max(8, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = tags.groupBy("id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))  # a row's own tags
+    rows = items.select("id", "vec").join(own, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    packs = rows.select("block", F.explode("tags").alias("tag"), "id", "vec", *(["tags"] if also else []))
+    asked = queries.select("qid", "qvec", F.col(tag).alias("tag"), *([F.col(also).alias("also")] if also else []), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    met = asked.join(packs, ["tag", "block"]).where(F.col("id") != F.col("qid"))
+    if also:
+        met = met.where(F.array_contains("tags", F.col("also")))
+    near = met.select("qid", "block", "id", distance("vec", "qvec").alias("dist"))
+    local = near.withColumn("r", F.row_number().over(Window.partitionBy("qid", "block").orderBy("dist", "id"))).where(F.col("r") <= k)
+    return first(local.select("qid", "id", "dist"), k)
+
+
 def first(scored: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
