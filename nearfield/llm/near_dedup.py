@@ -17,7 +17,7 @@ a larger bucket each node is compared with a center, the node that shares most p
 similar to it are of its class. The large buckets of a center are one group, and what is outside the center's class there must
 still be held against the group's other classes, without forming all pairs:
 
-- a group of up to WIDE nodes is cut into blocks (at most 8 of members and 32 of outsiders), where a matrix product counts
+- a group of up to WIDE nodes is cut into blocks (at most 8 of members and 16 of outsiders, where texts are not very long), where a matrix product counts
   the shared k-mers, which bounds the alignment;
 - a larger group, for which blocks would move every node ever more often, is split by prefixes first. Two texts of similarity s share at least one of the (1 - s) * n + 1 k-mers that are
   rarest among all such groups. So nodes of different classes that share none of those can't be linked, and those that share
@@ -92,7 +92,7 @@ class Hasher:
         if not n:
             return np.empty(0, np.int64)
         take, keys = min(self.taken, n), np.empty(self.bands, np.uint64)
-        step = max(1, (4 << 20) // n)  # bounded memory for long texts
+        step = max(1, (1 << 20) // n)  # bounded memory for long texts
         for s in range(0, self.bands, step):
             h = kmers[:, None] * self.a[None, s : s + step] + self.b[None, s : s + step]
             h ^= h >> np.uint64(31)
@@ -238,7 +238,7 @@ def links_across(groups: DataFrame, kmers: DataFrame, least: float, tables: Scra
     outside = F.col("class_id") != F.col("main")
     sizes = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_kmers").alias("w"), F.count_if(outside).alias("u"), F.sum(F.when(outside, F.col("n_kmers")).otherwise(0)).alias("uw")).where("u > 0")
     cut = lambda n, w, rows, size: F.ceil(F.greatest(F.col(n) / rows, F.col(w) / size)).cast("int")
-    sizes = tables.stored(sizes.select(F.col("g").alias("of"), cut("u", "uw", 256, 1 << 17).alias("ub"), cut("n", "w", BLOCK, 1 << 19).alias("xb")), "groups")
+    sizes = tables.stored(sizes.select(F.col("g").alias("of"), cut("u", "uw", 512, 1 << 18).alias("ub"), cut("n", "w", BLOCK, 1 << 19).alias("xb")), "groups")
     rows = groups.join(sizes, F.col("g") == F.col("of"))
     full = tables.stored(rows.join(kmers.withColumnRenamed("node", "id"), F.col("node") == F.col("id")).select("g", "node", "class_id", "main", "ub", "xb", "kmers"), "group-kmers")
     part = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")

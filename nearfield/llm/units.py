@@ -34,7 +34,7 @@ WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 #: Punctuation of ASCII, for a character class.
 MARKS = r"!-/:-@\[-`{-~"
 #: Bytes of text that are cut at a time, known units, and the longest unit that is kept.
-BATCH_BYTES, KNOWN, LONGEST = 4 << 20, 200_000, 64
+BATCH_BYTES, KNOWN, LONGEST = 4 << 20, 100_000, 64
 #: Stands before a unit that no space or newline stands before. Texts that hold it are encoded whole.
 MARK = "\x1e"
 
