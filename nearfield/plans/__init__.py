@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,16 +246,17 @@ def workload_cost(queries: list[Spec], sizes: dict[str, int], ids: set[str], pac
         return memo[key]
 
     total = 0.0
-    for family, a, b, lo, hi, c, d in queries:
+    for (family, a, b, lo, hi, c, d), times in Counter(queries).items():
         if family == 0:
-            total += cost(f"A{a}")
+            one = cost(f"A{a}")
         elif family == 1:
-            total += cost(_pair(a, b))
+            one = cost(_pair(a, b))
         elif family == 2:
             there = [k for k in _ranges(lo, hi) if _free(k) or k in ids or k in packed]
-            total += range_cover(lo, hi, {(int(s), int(w)): int(cost(f"R{w}_{s}")) for w, s in (k[1:].split("_") for k in there)})[0]
+            one = range_cover(lo, hi, {(int(s), int(w)): int(cost(f"R{w}_{s}")) for w, s in (k[1:].split("_") for k in there)})[0]
         else:
-            total += cost(_pair(a, b)) + cost(_pair(c, d)) + 1500
+            one = cost(_pair(a, b)) + cost(_pair(c, d)) + 1500
+        total += times * one
     return total
 
 
