@@ -248,14 +248,16 @@ def read_clusters(spark: SparkSession, centroids: str, members: str) -> tuple[Da
 
 
 def read_vocabulary(spark: SparkSession, path: str, names: tuple[str, ...] = ("tag",)) -> DataFrame:
-    """Numbers of a text file, one unit a line; empty lines and what follows # don't count. A unit twice, or a line with another
-    number of numbers, is an error."""
-    line = F.trim(F.regexp_replace("value", "#.*", ""))
-    parts = spark.read.text(path).select(F.split(line, r"\s+").alias("p")).where(F.col("p")[0] != "")
-    right = F.when(F.size("p") == len(names), F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a unit: "), F.array_join("p", " "))))
-    units = parts.select(right.alias("p")).select(*[F.col("p")[k].cast("int").alias(n) for k, n in enumerate(names)])
-    counted = units.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.when(F.col("n") > 1, F.raise_error(F.lit("a unit twice"))).otherwise(F.col(names[0])).cast("int").alias(names[0]), *names[1:])
+    """Units of a text file, one a line, each once: the first numbers of a line, as many as names. Two of them are a pair, the
+    smaller first, and must differ. Empty lines and those that begin with # don't count; a line that doesn't begin with such
+    numbers is an error."""
+    line = F.ltrim("value")
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~line.startswith("#"))
+    numbers = F.transform(F.slice(F.split(F.trim("value"), r"\s+"), 1, len(names)), lambda x: F.when(x.rlike(r"^\d{1,10}$"), x.cast("long")))
+    units = lines.select(F.array_sort(numbers).alias("u"), "value")
+    wrong = (F.size("u") < len(names)) | F.exists("u", lambda x: x.isNull() | (x > 2**31 - 1)) | (F.size(F.array_distinct("u")) < F.size("u"))
+    checked = units.select(F.when(wrong, F.raise_error(F.concat(F.lit("not a unit: "), "value"))).otherwise(F.col("u")).alias("u"))
+    return checked.select(*[F.get("u", F.lit(k)).cast("int").alias(n) for k, n in enumerate(names)]).distinct()
 
 
 def padded(results: DataFrame, k: int) -> DataFrame:

@@ -119,9 +119,10 @@ def test_truth_and_clusters(spark, tmp_path):
     c, m = sources.read_clusters(spark, put("7_centroids.bin", struct.pack("<ii4B", 2, 2, 1, 2, 3, 4)), put("7_members.bin", struct.pack("<i3q3i", 2, 0, 1, 3, 9, 8, 7)))
     assert [(r["tag"], r["cluster"], list(r["centroid"])) for r in c.collect()] == [(7, 0, [1, 2]), (7, 1, [3, 4])]
     assert rows(m) == [(7, 0, 9), (7, 1, 7), (7, 1, 8)]
-    (tmp_path / "v.txt").write_text("# units\n3 4\n\n5 6 # pair\n")
+    (tmp_path / "v.txt").write_text("# units\n4 3 and more\n\n  # none\n5 6\n3 4\n")
     assert rows(sources.read_vocabulary(spark, str(tmp_path / "v.txt"), ("a", "b"))) == [(3, 4), (5, 6)]
-    for text in ("3 4\n3 4\n", "3\n"):
+    assert rows(sources.read_vocabulary(spark, str(tmp_path / "v.txt"))) == [(3,), (4,), (5,)]
+    for text in ("3 3\n", "3\n", "3 x\n", "-1 2\n", "1 3000000000\n"):
         (tmp_path / "v2.txt").write_text(text)
         refused(sources.read_vocabulary(spark, str(tmp_path / "v2.txt"), ("a", "b")))
 
