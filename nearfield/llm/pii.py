@@ -32,25 +32,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS, WALK = 8, 128
-#: Fixed patterns of the formats, the more special first. Quantifiers are bounded, so a long text costs a bounded look ahead.
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+#: Fixed patterns of the formats, the more special first. Quantifiers are bounded, so a long text costs a bounded look ahead, and
+#: what a match begins with is looked at before what stands before it, so that most places of a text fail at once.
+MAIL_BODY = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+MAIL = rf"(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+-]){MAIL_BODY}"
 GIVEN = r" ?[=:] ?[\x22']?"
-SECRET = rf"(?<=(?<hexfor>(?i:token|key|secret|password|passwd|pwd|passphrase)){GIVEN})(?<![0-9a-fA-F])[0-9a-fA-F]{{16,64}}(?![0-9a-zA-Z])"
-ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
-PREFIXED = r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)[A-Za-z0-9_-]{16,120}(?![A-Za-z0-9])"
+SECRET = rf"(?<hexto>(?i:token|key|secret|password|passwd|pwd|passphrase){GIVEN})(?<hex>[0-9a-fA-F]{{16,64}})(?![0-9a-zA-Z])"
+ACCESS = r"(?=A)(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+PREFIXES = r"(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)"
+PREFIXED = rf"(?=[gsx])(?<![A-Za-z0-9]){PREFIXES}[A-Za-z0-9_-]{{16,120}}(?![A-Za-z0-9])"
 WORDLIKE = r"A-Za-z0-9_!@#$%^&*+/=~?"
 MIXED = rf"(?=[{WORDLIKE}.-]{{0,63}}\d)(?=[{WORDLIKE}.-]{{0,63}}[A-Za-z])"
-ASSIGNED = rf"(?<=(?<passfor>(?i:password|passwd|pwd|passphrase)){GIVEN}){MIXED}[{WORDLIKE}.-]{{5,63}}[{WORDLIKE}-](?![{WORDLIKE}-])|(?<=(?<keyfor>(?i:token|secret|api[_ -]?key|access[_ -]?key|auth[_ -]?key)){GIVEN}){MIXED}[{WORDLIKE}.-]{{7,63}}[{WORDLIKE}-](?![{WORDLIKE}-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-IP = r"(?<![\d.vV])(?<!(?i:version|release|build|ver\.?)[ :])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d]|\.\d)"
-DATE = r"(?<![\d./-])(?:\d{4}(?<ds>[-/.])(?:0[1-9]|1[0-2])\k<ds>(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dt>[-/.])(?:0[1-9]|[12]\d|3[01])\k<dt>\d{4})(?![\d]|[./-]\d)"
-SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+(?=(?:\d[ .-]?){7,15}(?![ .-]?\d))[1-9]\d{0,2}(?:[ .-]\d{1,4}){3,6}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-GROUPED = r"(?<![\d-])(?=(?:\d[ -]?){13,19}(?![ -]?\d))\d{3,6}(?<cs>[ -])\d{3,6}(?:\k<cs>\d{3,6}){1,4}(?![\d-])"
-NUMBER = r"(?<![\dA-Za-z.,])\d{13,19}(?![\dA-Za-z]|[.,]\d)"
-#: What a text must have to be searched at all.
-LOOKS = r"\d{3}|\d\.\d|@|\d[-/.]\d\d|\+\d|AKIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|(?i:token|key|secret|password|passwd|pwd|passphrase) ?[=:]"
-FOUND = "|".join((MAIL, SECRET, ACCESS, PREFIXED, ASSIGNED, IBAN, IP, DATE, SSN, PHONE, GROUPED, NUMBER))
+OTHERS = rf"(?!{MAIL_BODY}|AKIA[A-Z0-9]{{16}}(?![A-Za-z0-9])|{PREFIXES}[A-Za-z0-9_-]{{16}})"
+ASSIGNED = rf"(?<passto>(?i:password|passwd|pwd|passphrase){GIVEN}){OTHERS}{MIXED}(?<pass>[{WORDLIKE}.-]{{5,63}}[{WORDLIKE}-])(?![{WORDLIKE}-])|(?<keyto>(?i:token|secret|api[_ -]?key|access[_ -]?key|auth[_ -]?key){GIVEN}){OTHERS}{MIXED}(?<key>[{WORDLIKE}.-]{{7,63}}[{WORDLIKE}-])(?![{WORDLIKE}-])"
+IBAN = r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){1,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+IP = r"(?=\d)(?<![\d.vV])(?<!(?i:version|release|build|ver\.?)[ :])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\d]|\.\d)"
+DATE = r"(?=\d\d)(?<![\d./-])(?:\d{4}(?<ds>[-/.])(?:0[1-9]|1[0-2])\k<ds>(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dt>[-/.])(?:0[1-9]|[12]\d|3[01])\k<dt>\d{4})(?![\d]|[./-]\d)"
+SSN = r"(?=\d)(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"
+PHONE = r"(?=[+(\d])(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+(?=(?:\d[ .-]?){7,15}(?![ .-]?\d))[1-9]\d{0,2}(?:[ .-]\d{1,4}){3,6}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
+GROUPED = r"(?=\d{3})(?<![\d-])(?=(?:\d[ -]?){13,19}(?![ -]?\d))\d{3,6}(?<cs>[ -])\d{3,6}(?:\k<cs>\d{3,6}){1,4}(?![\d-])"
+NUMBER = r"(?=\d{13})(?<![\dA-Za-z.,])\d{13,19}(?![\dA-Za-z]|[.,]\d)"
+#: The words that secrets are given to are part of a match but not of what is replaced.
+FOUND = "|".join((SECRET, ASSIGNED, "(?<rest>" + "|".join((MAIL, ACCESS, PREFIXED, IBAN, IP, DATE, SSN, PHONE, GROUPED, NUMBER)) + ")"))
 #: Country codes (fixed values) are 1, 7, the two-digit ones here, and else of three digits.
 COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Card issuers' ranges (fixed values) by the first digits.
@@ -267,6 +270,14 @@ def pseudonym(m: Column, given: Column, key: str) -> Column:
     )
 
 
+def looks(text: Column) -> Column:
+    """Whether a text has what some format needs: a few cheap scans, so that most texts aren't searched."""
+    numbers = text.rlike(r"[0-9](?:[0-9][0-9]|\.[0-9]|[-/.][0-9][0-9])|\+[0-9]")
+    given = (text.contains("=") | text.contains(":")) & text.rlike(r"[=:](?<=(?i:token|key|secret|password|passwd|pwd|passphrase) ?[=:])")
+    prefixed = (text.contains("_") & text.rlike("_(?<=gh[pousr]_|github_pat_)")) | text.contains("sk-") | text.contains("xox")
+    return numbers | text.contains("@") | text.contains("AKIA") | given | prefixed
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with pseudonyms in `text` and, if `count` names a column, how many values were replaced. An empty key is an
     error. Null and empty texts stay; a text without such values stays as it is, byte for byte; rows are kept one to one, in
@@ -278,8 +289,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     safe = body
     for mark, stand_in in STAND_INS.items():
         safe = F.replace(safe, F.lit(mark), F.lit(stand_in))
-    marked = F.regexp_replace(safe, FOUND, f"{EDGE}$0{TAG}${{hexfor}}${{passfor}}${{keyfor}}{EDGE}")
-    cut = F.when(body.rlike(LOOKS), F.split(marked, EDGE, -1))  # found values have the odd places
+    given = "${hexto}${passto}${keyto}"
+    marked = F.regexp_replace(safe, FOUND, f"{given}{EDGE}${{hex}}${{pass}}${{key}}${{rest}}{TAG}{given}{EDGE}")
+    cut = F.when(looks(body), F.split(marked, EDGE, -1))  # found values have the odd places
 
     def one(p: Column, i: Column) -> Column:
         hit = let(F.split(p, TAG, -1), lambda s: let(F.get(s, F.lit(0)), lambda m: F.struct(m.alias("old"), pseudonym(m, F.get(s, F.lit(1)), key).alias("new"))))

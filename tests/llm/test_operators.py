@@ -486,15 +486,12 @@ def test_feistel_permutes(spark):
     assert three.select(pii.symbols(F.col("d"), 26, 12, "t", "k")).distinct().count() == 26**3
 
 
-@pytest.mark.parametrize("form", ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"])
-def test_dates_are_permuted(spark, form):
-    """As many distinct texts come out of all dates of a cycle, in both slashed readings, as go in."""
+def test_dates_are_permuted(spark):
+    """As many distinct texts come out of all dates of a cycle, in both slashed readings, as go in, and each is one that went in."""
     day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int"))
-    days = spark.range(146097).select(F.concat(F.lit("on "), F.date_format(day, form)).alias("text"))
-    if form == "MM/dd/yyyy":
-        days = days.union(spark.range(146097).select(F.concat(F.lit("on "), F.date_format(day, "dd/MM/yyyy")).alias("text")))
-    days = days.distinct().cache()
-    out = pii.pseudonymise(days, "k")
+    one = lambda form: spark.range(146097).select(F.concat(F.lit("on "), F.date_format(day, form)).alias("text"))
+    days = one("MM/dd/yyyy").union(one("dd/MM/yyyy")).distinct().cache()
+    out = pii.pseudonymise(days, "k").cache()
     assert out.distinct().count() == days.count() and out.exceptAll(days).count() == 0
 
 
