@@ -260,7 +260,7 @@ def graph_audit(spark, d):
     t = load(spark, d)
     edges = graph.knn_graph(t.items, "label", 4).select("shard", "src", "dst", "dist")
     planted = lambda kind, dst: t.items.where(F.col("id") % 100 == kind).select(F.col("label").alias("shard"), F.col("id").alias("src"), dst.cast("long").alias("dst"))
-    twice = graph.knn_graph(t.items.where(F.lit(True)), "label", 1).where(F.col("src") % 100 == 2)
+    twice = graph.knn_graph(t.items, "label", 1).where(F.col("src") % 100 == 2)
     bad = search.union_of([edges.select("shard", "src", "dst"), planted(1, F.col("id")), twice.select("shard", "src", "dst"), planted(3, F.lit(-5))])
     return graph.audit(bad, t.items, 4)
 

@@ -105,7 +105,7 @@ def record_checks(spark, d):
 
 @query(prelude() + ", s AS (SELECT tag, count(*) AS n FROM tags GROUP BY tag) SELECT tag, CASE WHEN 4 * n > 2 * n + 150 THEN 'stop_persistent' WHEN 128 * n > 120 * n + 700 THEN 'stop_runtime' ELSE 'pass' END AS decision FROM s")
 def resource_decision(spark, d):
-    """Persistent bytes first, then those at run time, against the reference and the graph together."""
+    """Persistent bytes first, then those at run time, against the baseline and the graph together."""
     n = F.col("n")
     return QUERIES["posting_sizes"](spark, d).select("tag", plans.resources(4 * n, 2 * n, F.lit(150), 128 * n, 120 * n, F.lit(700)).alias("decision"))
 

@@ -156,9 +156,9 @@ def subset_values(spark: SparkSession, units: dict[str, int], savings: dict[str,
     return subsets.select("mask", cost.cast("long").alias("cost"), sum(best, F.lit(0.0)).alias("value")).where(F.col("cost") <= budget)
 
 
-def resources(persistent: Column, reference: Column, graph: Column, runtime: Column, reference_runtime: Column, graph_runtime: Column) -> Column:
-    """Whether a design stays within the reference and the graph together: what persists first, then what runs."""
-    return F.when(persistent > reference + graph, "stop_persistent").when(runtime > reference_runtime + graph_runtime, "stop_runtime").otherwise("pass")
+def resources(persistent: Column, baseline: Column, graph: Column, runtime: Column, baseline_runtime: Column, graph_runtime: Column) -> Column:
+    """Whether a design stays within the baseline and the graph together: what persists first, then what runs."""
+    return F.when(persistent > baseline + graph, "stop_persistent").when(runtime > baseline_runtime + graph_runtime, "stop_runtime").otherwise("pass")
 
 
 def split_census(queries: DataFrame, pair: list[str]) -> DataFrame:
