@@ -60,7 +60,7 @@ def test_graph_in_many_groups(spark, monkeypatch):
     assert got == {s: m for p in (0, 1) for s, m in plain([r[:2] for r in rows if r[2] == p], 5).items()}
 
 
-@pytest.mark.parametrize("name", ["graph_audit"])
+@pytest.mark.parametrize("name", ["graph_audit", "knn_graph"])
 def test_pairs_of_rows_are_no_rows(spark, sf, name, capsys):
     """A shard's rows meet in blocks, once, and not as rows of a join."""
     QUERIES[name](spark, sf).explain("formatted")
