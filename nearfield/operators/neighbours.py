@@ -146,3 +146,37 @@ def nearest(ids: np.ndarray, a: Block, targets: np.ndarray, b: Block, k: int) ->
     _, place = ranks(each, np.arange(len(each)))
     each, at = each[place < k], at[place < k]
     return ids[each], target[at], np.where(kind[at] == 1, np.nan, value[at]), kind[at] < 2
+
+
+def pruned(pool: np.ndarray, dist: np.ndarray, valid: np.ndarray, vectors: Block, degree: int, alpha: float) -> np.ndarray:
+    """Which candidates stay. pool: rows of `vectors` by row and place, nearest first. One stays where fewer than `degree`
+    did before it and none of those is nearer to it by the factor alpha. NaN is larger than all numbers."""
+    side = columns(vectors)
+    n, width = pool.shape
+    kept, size, out = np.zeros((n, degree), np.int64), np.zeros(n, np.int64), np.zeros((n, width), bool)
+    for p in range(width):
+        between, some = folded(side, side, kept, pool[:, p : p + 1])
+        between, own = between * (alpha * alpha), dist[:, p : p + 1]
+        nearer = some & ((between < own) | (np.isnan(own) & ~np.isnan(between)))
+        hidden = (nearer & (np.arange(degree) < size[:, None])).any(1)
+        stays = valid[:, p] & ~hidden & (size < degree)
+        out[:, p] = stays
+        kept[stays, size[stays]] = pool[stays, p]
+        size += stays
+    return out
+
+
+def pruned_lists(src: np.ndarray, dst: np.ndarray, dist: np.ndarray, there: np.ndarray, ids: np.ndarray, vectors: Block, degree: int, alpha: float) -> np.ndarray:
+    """Of edges in any order the places of those that stay; the vectors of all dst are among those of `ids`."""
+    by_id = np.argsort(ids)
+    at = by_id[np.searchsorted(ids, dst, sorter=by_id)]
+    by, place = ranks(src, ~there, dist, dst)
+    row = np.cumsum(place == 0) - 1
+    shape = (int(row.max(initial=-1)) + 1, int(place.max(initial=-1)) + 1)
+
+    def grid(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(shape, values.dtype)
+        out[row, place] = values[by]
+        return out
+
+    return by[pruned(grid(at), grid(dist), grid(there), vectors, degree, alpha)[row, place]]
