@@ -1,11 +1,13 @@
 """Exact nearest neighbours between blocks of rows, in Arrow batches.
 
-Products of matrices give every distance of a block up to a bounded error. What lies within that error of the last
-neighbour is computed again as the left fold of doubles that `functions.l2` is, and only those distances rank and are
-returned. Equal vectors are held once, with as many of their smallest ids as can be asked for."""
+Products of matrices, in single precision where that tells vectors apart, give every distance of a block up to a bounded
+error. What lies within that error of the last neighbour is computed again as the left fold of doubles that `functions.l2`
+is, and only those distances rank and are returned. Equal vectors are held once, with as many of their smallest ids as can
+be asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +16,8 @@ import pyarrow.compute as pc
 
 #: Rows whose neighbours are a task's, rows that they are held against there, and the distances that are in memory at once.
 SOURCES, TARGETS, CELLS = 4096, 32768, 1 << 21
-EPS = float(np.finfo(np.float64).eps)
+#: Rows and columns of a product, and vectors from which lists get their first bounds.
+TILE, FIRST = (1024, 512), 2048
 
 
 class Block(NamedTuple):
@@ -33,10 +36,13 @@ def block(vectors: pa.Array, width: int) -> Block:
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = vectors.flatten()  # without the components of null vectors
-    at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values, there = np.zeros((len(sizes), width)), np.zeros((len(sizes), width), bool)
-    values[at] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64)
-    there[at] = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+    if not flat.null_count and (sizes == width).all():
+        values, there = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), width), np.ones((len(sizes), width), bool)
+    else:
+        at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        values, there = np.zeros((len(sizes), width)), np.zeros((len(sizes), width), bool)
+        values[at] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.float64)
+        there[at] = pc.is_valid(flat).to_numpy(zero_copy_only=False)
     with np.errstate(invalid="ignore"):
         plain = there.all(1) & (np.abs(values) < 1e150).all(1) & (width > 0)
     return Block(values + 0.0, there, plain)  # -0.0 and 0.0 are the same
@@ -81,24 +87,145 @@ def ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
 
 
-def candidates(a: Block, b: Block, rows: slice, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) that hold the k nearest plain rows of b to each plain row of a, and all pairs of other rows."""
-    x = a.values[rows]
-    with np.errstate(over="ignore", invalid="ignore"):
-        own = (x * x).sum(1)
-        rough = norms - 2.0 * (x @ b.values.T)
-        # of the products, the norms and the fold: each within width + 3 roundings of the sum of squares
-        error = 4.0 * (x.shape[1] + 3) * EPS * (own + norms[b.plain].max(initial=0.0))
-    rough[:, ~b.plain], rough[~a.plain[rows]], error[~a.plain[rows]] = np.inf, np.inf, 0.0
-    if int(b.plain.sum()) > k:
-        most = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2.0 * error
-    else:
-        most = np.full(len(x), np.inf)
-    near = rough <= most[:, None]
-    near[:, ~b.plain] = True
-    near[~a.plain[rows]] = True
-    s, t = np.nonzero(near)
-    return s + rows.start, t
+class Products:
+    """Squared distances of x and y without the squares of x, as products in one precision of vectors scaled by the same
+    power of two, and how far they may be off, twice."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, kind: type):
+        largest = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0))
+        self.scale = 2.0 ** -max(-900.0, np.ceil(np.log2(largest))) if largest > 0 else 1.0
+        x, y = x * self.scale, y * self.scale
+        self.own, norms = (x * x).sum(1), (y * y).sum(1)
+        self.x = np.concatenate([-2.0 * x, np.ones((len(x), 1))], axis=1).astype(kind)
+        self.y = np.concatenate([y, norms[:, None]], axis=1).astype(kind)
+        # of the products, the norms and the fold: each within width + 3 roundings of the sum of squares; and underflow of both
+        roundings = 8.0 * (x.shape[1] + 3)
+        self.error = roundings * (float(np.finfo(kind).eps) * (self.own + norms.max(initial=0.0)) + float(np.finfo(kind).tiny) + 5e-324 * self.scale * self.scale)
+
+    def bounds(self, most: np.ndarray, keep: int) -> np.ndarray:
+        """What a product is at most where the distance is at most `most`, or, where that is infinite, is among the `keep` least."""
+        with np.errstate(over="ignore"):
+            out = most * self.scale * self.scale - self.own + self.error  # an infinite one stays so
+        free = np.flatnonzero(np.isinf(most))
+        if len(self.y) > keep:
+            y = self.y[: max(FIRST, 2 * keep)]
+            step = max(1, CELLS // len(y))
+            for low in range(0, len(free), step):
+                rows = free[low : low + step]
+                out[rows] = np.partition(self.x[rows] @ y.T, keep - 1, axis=1)[:, keep - 1] + self.error[rows]
+        with np.errstate(over="ignore"):
+            return np.nextafter(out.astype(self.x.dtype), np.inf, dtype=self.x.dtype)[:, None]
+
+    def within(self, bounds: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row, column) of the rows low to high whose products are within the row's bound, a tile at a time."""
+        x, most, wide = self.x[low:high], bounds[low:high], TILE[1]
+        out, near = np.empty(len(x) * wide, x.dtype), np.zeros(len(x) * wide + 8, bool)
+        for first in range(0, len(self.y), wide):
+            y = self.y[first : first + wide]
+            cells = len(x) * len(y)
+            np.less_equal(np.matmul(x, y.T, out=out[:cells].reshape(len(x), len(y))), most, out=near[:cells].reshape(len(x), len(y)))
+            near[cells : cells + 8] = False
+            eights = near[: -(-cells // 8) * 8].reshape(-1, 8)
+            some = np.flatnonzero(eights.view(np.uint64))  # few are near
+            at, bit = np.nonzero(eights[some])
+            at = some[at] * 8 + bit
+            yield low + at // len(y), first + at % len(y)
+
+
+def candidates(a: Block, b: Block, most: np.ndarray, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b), each once: all that may be among the `keep` nearest plain rows of b to a plain row of a
+    and no further than its `most`, and all pairs with other rows."""
+    plain, to = np.flatnonzero(a.plain), np.flatnonzero(b.plain)
+    for rows, columns_ in ((np.flatnonzero(~a.plain), np.arange(len(b.plain))), (plain, np.flatnonzero(~b.plain))):
+        step = max(1, CELLS // max(1, len(columns_)))
+        for low in range(0, len(rows) if len(columns_) else 0, step):
+            part = rows[low : low + step]
+            yield np.repeat(part, len(columns_)), np.tile(columns_, len(part))
+    if not len(plain) or not len(to):
+        return
+    x, y, most = a.values[plain], b.values[to], most[plain]
+    products = Products(x, y, np.float32)
+    bounds = products.bounds(most, keep)
+    for low in range(0, len(plain), TILE[0]):
+        high = min(low + TILE[0], len(plain))
+        if products.x.dtype == np.float32:
+            found, n = [], 0
+            for pairs in products.within(bounds, low, high):
+                found.append(pairs)
+                n += len(pairs[0])
+                if n > 16 * keep * (high - low):
+                    break
+            else:
+                s, t = (np.concatenate(c) for c in zip(*found))
+                yield plain[s], to[t]
+                continue
+            products = Products(x, y, np.float64)  # single precision doesn't tell these apart
+            bounds = products.bounds(most, keep)
+        for s, t in products.within(bounds, low, high):
+            yield plain[s], to[t]
+
+
+class Lists:
+    """The `keep` nearest of all vectors met so far to each row of a, ties to the smaller order; NaN after all numbers (kind
+    1) and vectors without a distance after those (kind 2). s: row, t: number of the vector, by row and place."""
+
+    def __init__(self, a: Block, keep: int):
+        self.a, self.keep, self.left, self.met = a, keep, columns(a), 0
+        self.most = np.full(len(a.plain), np.inf)  # distance of the last of a full list
+        none = np.zeros(0, np.int64)
+        self.s, self.t, self.order, self.kind, self.value = none, none, none, none.astype(np.int8), np.zeros(0)
+
+    def meet(self, b: Block, order: np.ndarray) -> None:
+        """Vectors are numbered as they are met. Few come first, so that lists have bounds when many come."""
+        low = 0
+        while low < len(order):
+            high = min(len(order), low + min(max(FIRST, self.met), TARGETS))
+            self.meet_block(b.take(np.arange(low, high)), order[low:high])
+            low = high
+
+    def meet_block(self, b: Block, order: np.ndarray) -> None:
+        right, found, n = columns(b), [], 0
+        for s, t in candidates(self.a, b, self.most, self.keep):
+            for low in range(0, len(s), max(1, CELLS)):
+                i, j = s[low : low + CELLS], t[low : low + CELLS]
+                dist, some = folded(self.left, right, i, j)
+                kind = np.where(~some, 2, np.where(np.isnan(dist), 1, 0)).astype(np.int8)
+                value = np.where(kind == 0, dist, 0.0)
+                most = self.most[i]
+                stays = (kind == 0) & (value <= most) | np.isinf(most)
+                found.append((i[stays], j[stays] + self.met, order[j[stays]], kind[stays], value[stays]))
+                n += len(found[-1][0])
+                if n > 4 * CELLS:
+                    self.merge(found)
+                    found, n = [], 0
+        self.merge(found)
+        self.met += len(order)
+
+    def merge(self, found: list[tuple[np.ndarray, ...]]) -> None:
+        s, t, order, kind, value = (np.concatenate(c) for c in zip((self.s, self.t, self.order, self.kind, self.value), *found))
+        by = np.argsort(value)
+        by = by[np.argsort(s[by].astype(np.min_scalar_type(len(self.most))), kind="stable")]  # of small numbers in linear time
+        if kind.any() or ((s[by[1:]] == s[by[:-1]]) & (value[by[1:]] == value[by[:-1]])).any():
+            by = np.lexsort((order, value, kind, s))
+        rows = np.bincount(s, minlength=len(self.most))
+        place = np.arange(len(by)) - np.repeat(np.cumsum(rows) - rows, rows)
+        last = by[place == self.keep - 1]
+        self.most[s[last]] = np.where(kind[last] == 0, value[last], np.inf)
+        by = by[place < self.keep]
+        self.s, self.t, self.order, self.kind, self.value = s[by], t[by], order[by], kind[by], value[by]
+
+    def ids(self, counts: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, distance, kind) of the `keep` nearest ids to each row, by row and place. held: ids of all vectors met, the
+        smallest `keep` of each, `counts` of them, by vector."""
+        n = counts[self.t]
+        each = np.repeat(np.arange(len(n)), n)
+        target = held[np.repeat((np.cumsum(counts) - counts)[self.t], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
+        s, value, kind = self.s[each], self.value[each], self.kind[each]
+        if (n > 1).any():
+            by, place = ranks(s, kind, value, target)
+            by = by[place < self.keep]
+            s, target, value, kind = s[by], target[by], value[by], kind[by]
+        return s, target, np.where(kind == 1, np.nan, value), kind
 
 
 def nearest(ids: np.ndarray, a: Block, targets: np.ndarray, b: Block, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -107,36 +234,12 @@ def nearest(ids: np.ndarray, a: Block, targets: np.ndarray, b: Block, k: int) ->
     keep = k + 1  # its own id may be among them
     b_rows, b_number = distinct(b)
     by, place = ranks(b_number, targets)
-    held = by[place < keep]  # the smallest ids of each vector, in the vectors' order
-    counts = np.bincount(b_number[held], minlength=len(b_rows))
-    starts, b = np.cumsum(counts) - counts, b.take(b_rows)
+    by = by[place < keep]  # the smallest ids of each vector, in the vectors' order
+    counts, held = np.bincount(b_number[by], minlength=len(b_rows)), targets[by]
     a_rows, a_number = distinct(a)
-    a = a.take(a_rows)
-    with np.errstate(over="ignore", invalid="ignore"):
-        norms = (b.values * b.values).sum(1)
-    left, right = columns(a), columns(b)
-    found: list[tuple[np.ndarray, ...]] = []
-    step = max(1, CELLS // max(1, len(b_rows)))
-    for low in range(0, len(a_rows), step):
-        s, t = candidates(a, b, slice(low, min(low + step, len(a_rows))), norms, keep)
-        dist, some = folded(left, right, s, t)
-        kind = np.where(~some, 2, np.where(np.isnan(dist), 1, 0))
-        value = np.where(kind == 0, dist, 0.0)
-        by, place = ranks(s, kind, value)
-        s, t, kind, value = s[by], t[by], kind[by], value[by]
-        last = np.flatnonzero(place == keep - 1)  # ties with the last vector stay, for their ids
-        bound = np.full(len(a_rows), -1)
-        bound[s[last]] = last
-        at = bound[s]
-        stays = (at < 0) | (kind < kind[at]) | ((kind == kind[at]) & (value <= value[at]))
-        s, t, kind, value = s[stays], t[stays], kind[stays], value[stays]
-        n = counts[t]
-        each = np.repeat(np.arange(len(s)), n)
-        row = held[np.repeat(starts[t], n) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)]
-        by, place = ranks(s[each], kind[each], value[each], targets[row])
-        by = by[place < keep]
-        found.append((s[each][by], targets[row][by], value[each][by], kind[each][by]))
-    s, target, value, kind = (np.concatenate(c) for c in zip(*found))
+    lists = Lists(a.take(a_rows), keep)
+    lists.meet(b.take(b_rows), held[np.cumsum(counts) - counts])
+    s, target, value, kind = lists.ids(counts, held)
     n = np.bincount(s, minlength=len(a_rows))  # lists of distinct rows, in their order
     n_of, start_of = n[a_number], (np.cumsum(n) - n)[a_number]
     each = np.repeat(np.arange(len(ids)), n_of)
@@ -145,7 +248,7 @@ def nearest(ids: np.ndarray, a: Block, targets: np.ndarray, b: Block, k: int) ->
     each, at = each[other], at[other]
     _, place = ranks(each, np.arange(len(each)))
     each, at = each[place < k], at[place < k]
-    return ids[each], target[at], np.where(kind[at] == 1, np.nan, value[at]), kind[at] < 2
+    return ids[each], target[at], value[at], kind[at] < 2
 
 
 def pruned(pool: np.ndarray, dist: np.ndarray, valid: np.ndarray, vectors: Block, degree: int, alpha: float) -> np.ndarray:

@@ -69,6 +69,42 @@ def test_pairs_of_rows_are_no_rows(spark, sf, name, capsys):
     assert plan.count("FlatMapGroupsInArrow (") == 1 and "src) = dst" not in plan and "src = dst" not in plan
 
 
+def test_lists_of_many_blocks(monkeypatch):
+    """Vectors that are met a few at a time, in products of small tiles, give the lists of all at once."""
+    for name, value in (("FIRST", 4), ("TARGETS", 8), ("TILE", (16, 8))):
+        monkeypatch.setattr(neighbours, name, value)
+    draw = random.Random(11)
+    for values in ([x / 8 for x in range(80)], [0.0, 0.1, 1e8, 1e8 + 0.1, None, NAN], [1e-160, 2e-160, 3e-160], [1000 + x * 1e-6 for x in range(50)]):
+        rows = [(i, [draw.choice(values) for _ in range(3)]) for i in draw.sample(range(300), 90)]
+        ids = np.array([i for i, _ in rows])
+        b = neighbours.block(pa.array([v for _, v in rows], pa.list_(pa.float64())), 3)
+        got = {i: [] for i, _ in rows}
+        for s, t, d, there in zip(*(c.tolist() for c in neighbours.nearest(ids, b, ids, b, 5))):
+            got[s].append((t, repr(d if there else None)))
+        assert got == plain(rows, 5)
+
+
+def test_graph_of_copies_and_odd_vectors_in_slices(spark, monkeypatch):
+    """More copies than neighbours, -0.0, NaN, nulls and vectors of other widths than those that ask."""
+    monkeypatch.setattr(neighbours, "SOURCES", 1)  # a shard of 8 slices
+    draw = random.Random(9)
+    odd = [None, [], [0.5], [None, 1.0, 2.0], [NAN, 1.0], [0.0, 0.0, 0.0], [-0.0, 0.0, -0.0], [1.0, 2.0, 3.0, 4.0, 5.0]]
+    rows = [(i, draw.choice(odd) if i % 3 else [float(draw.randrange(30)), 1.0, 2.0], 0) for i in range(150)]
+    got = {i: [] for i, _, _ in rows}
+    for r in graph.knn_graph(spark.createDataFrame(rows, "id long, vec array<double>, part int"), "part", 6).collect():
+        got[r["src"]].append((r["dst"], r["dist"]))
+    key = lambda f: (f[1] is None, f[1] is not None and math.isnan(f[1]), 0.0 if f[1] is None or math.isnan(f[1]) else f[1], f[0])
+    assert {s: [(t, repr(d)) for t, d in sorted(m, key=key)] for s, m in got.items()} == plain([r[:2] for r in rows], 6)
+
+
+@pytest.mark.parametrize("name", ["block_graphs", "graph_audit", "knn_graph"])
+def test_no_shard_is_searched_in_cells(spark, sf, name, capsys):
+    """What has SQL is exact for shards of any size: no row is held against its pivots' cells only."""
+    QUERIES[name](spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "pivot" not in plan and "cell" not in plan
+
+
 def recall(spark, name, d):
     true, found = ({(r["qid"], r["id"]) for r in QUERIES[n](spark, d).collect()} for n in ("equality_topk", name))
     return len(true & found) / len(true)
